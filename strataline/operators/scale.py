@@ -12,19 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 SLICE_ROWS = 200_000
 CUTS = 512
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several later steps read, and read it back.
+
+    Uses a reliable checkpoint in the shared folder, so it outlives executors.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def sliced(df: DataFrame, keys: list[str], order: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``_slice``: ordered ranges of ``order`` inside each group (0 for small groups)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
+    """Add ``_slice``: ordered ranges of ``order`` inside each group (0 for small groups).
+
+    One row in ``slice_rows`` becomes a cut point, chosen by hash; at most
+    ``CUTS`` evenly spaced ones are kept per group.
+    """
     place = F.struct(*[F.col(c) for c in order])
-    cuts = (
-        df.select(*keys, *[c for c in order if c not in keys]).join(sizes, keys)
-        .filter(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.col("_n")) < CUTS)
-        .groupBy(*keys).agg(F.array_sort(F.collect_set(place)).alias("_cuts"))
-    )
+    picked = df.filter(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(slice_rows)) == 0)
+    cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(place)).alias("_all")).select(
+        *keys, F.filter("_all", lambda c, i: i % F.ceil(F.size("_all") / CUTS) == 0).alias("_cuts"))
     low = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
     return df.join(cuts, keys, "left").withColumn(
         "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(low)).drop("_cuts")
