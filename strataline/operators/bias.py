@@ -89,7 +89,7 @@ def _centred(studies: DataFrame, pooled: DataFrame, by: list[str]) -> DataFrame:
 
 def trim_and_fill(studies: DataFrame, pooled: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Summary per group and the mirrored rows. Average ranks come from counts per distinct magnitude."""
-    rows = _centred(studies, pooled, by)
+    rows = settle(_centred(studies, pooled, by))
     runs = value_runs(rows, by, "mag").withColumn("rank", F.col("upto") - (F.col("cnt") - 1) / 2.0)
     sides = rows.join(runs.select(*by, "mag", "rank"), [*by, "mag"]).groupBy(*by, "k", "pooled").agg(
         F.count_if(F.col("dev") > 0).alias("right"), F.count_if(F.col("dev") < 0).alias("left"),
@@ -99,10 +99,11 @@ def trim_and_fill(studies: DataFrame, pooled: DataFrame, by: list[str]) -> tuple
     s = F.when(positive, F.col("sr")).otherwise(F.col("sl"))
     sides = sides.select(*by, "k", "pooled", positive.alias("trim_positive"), F.greatest(
         F.lit(0), (4 * s / F.col("k") - (F.col("k") + 1) / 2).cast("long")).alias("k0"))
+    sides = settle(sides)
     order = rows.withColumn("_desc", -F.col("mag"))
     top = numbered(order, by, ["_desc", "study_id"]).join(sides.select(*by, "k0", "trim_positive"), by)
     mirrored = top.filter((F.col("rn") <= F.col("k0")) & F.when(F.col("trim_positive"), F.col("dev") > 0).otherwise(F.col("dev") < 0))
-    mirrored = mirrored.select(*by, "study_id", (2 * F.col("pooled") - F.col("effect")).alias("effect"), "se")
+    mirrored = settle(mirrored.select(*by, "study_id", (2 * F.col("pooled") - F.col("effect")).alias("effect"), "se"))
     w = 1 / (F.col("se") * F.col("se"))
     both = studies.select(*by, "effect", "se", F.lit(0).alias("_f")).unionByName(
         mirrored.select(*by, "effect", "se", F.lit(1).alias("_f")))

@@ -22,7 +22,7 @@ def bands(value: Column, limits: list[tuple]) -> Column:
 
 def forest_table(weighted: DataFrame, by: list[str], sort_by: str = "effect") -> DataFrame:
     """Rows in plotting order with their height and marker size; ``weighted`` carries weight_pct."""
-    key = {"effect": -F.col("effect"), "weight": -F.col("weight_pct"), "se": F.col("se")}.get(sort_by, F.col("study_id"))
+    key = {"effect": -F.round("effect", 9), "weight": -F.col("weight_pct"), "se": F.col("se")}.get(sort_by, F.col("study_id"))
     rows = numbered(weighted.withColumn("_key", key), by, ["_key", "study_id"])
     size = weighted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     label = F.when(F.length("study_id") > 30, F.concat(F.substring("study_id", 1, 30), F.lit("..."))).otherwise(F.col("study_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import norm_p_sql, t_p_sql, z_quantile
 from ..operators import bias, meta, sensitivity
+from ..operators.scale import settle
 from .q_meta import rounded, sql6
 from .registry import cte, query
 
@@ -26,8 +27,9 @@ EGGER = f"SELECT brand, n, df, {sql6('intercept', 'slope', 'se_intercept', 't_va
 
 
 def brands(t):
-    s = t.studies_tpch
-    return s, meta.pool(s, ["brand"])
+    """Studies are read by many steps below, so they are written once."""
+    s = settle(t.studies_tpch)
+    return s, settle(meta.pool(s, ["brand"]))
 
 
 @query("m14_eggers_test", EGGER)
@@ -45,7 +47,7 @@ WHERE a.study_id<b.study_id AND n>=5 GROUP BY brand, n))""")
 
 @query("m15_beggs_test", f"SELECT brand, n, {sql6('tau', 'z AS z_value', 'p AS p_value')}, p<0.05 AS significant FROM begg_tp")
 def _(t):
-    return rounded(bias.beggs_test(t.studies_tpch, ["brand"]))
+    return rounded(bias.beggs_test(settle(t.studies_tpch), ["brand"]))
 
 
 cte("fill_rows", """
@@ -152,7 +154,7 @@ JOIN studies_events b ON t.metric=b.metric AND b.day<=t.day GROUP BY ALL)""")
 @query("m21_cumulative", f"""SELECT metric, study_id, strftime(day,'%Y-%m-%d') AS timestamp, k AS n_studies, {sql6('e AS pooled_effect',
  f'e-{Z!r}*s AS ci_lower', f'e+{Z!r}*s AS ci_upper', 'p_value')} FROM cumulative_ev""")
 def _(t):
-    return rounded(sensitivity.cumulative(t.studies_events, ["metric"], "day"))
+    return rounded(sensitivity.cumulative(settle(t.studies_events), ["metric"], "day"))
 
 
 cte("influential_ev", f"""SELECT l.metric, l.study_id FROM loo_ev l JOIN influence_ev i USING (metric, study_id)
@@ -160,9 +162,9 @@ cte("influential_ev", f"""SELECT l.metric, l.study_id FROM loo_ev l JOIN influen
 
 
 def sensitivity_parts(t):
-    s, by = t.studies_events, ["metric"]
+    s, by = settle(t.studies_events), ["metric"]
     p = meta.pool(s, by)
-    loo = sensitivity.leave_one_out(s, p, by)
+    loo = settle(sensitivity.leave_one_out(s, p, by))
     return p, loo, sensitivity.influential(loo, sensitivity.influence(s, p, by, loo), p, by)
 
 

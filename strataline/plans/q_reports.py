@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons
 from ..functions.stats import norm_p_sql, z_quantile
 from ..operators import bias, meta, reports, sensitivity
+from ..operators.scale import settle
 from .q_bias import Z, brands, sensitivity_parts
 from .q_meta import normal_sql, pooled, rounded, sql6
 from .registry import cte, query
@@ -28,7 +29,7 @@ def weights(t):
 
 
 @query("m24_forest_table", f"""SELECT brand, study_id, CASE WHEN length(study_id)>30 THEN study_id[1:30]||'...' ELSE study_id END AS label, rn, k+3-rn AS y,
- {sql6('effect', 'se', 'weight_pct', 'sqrt(weight_pct)*3+5 AS marker')} FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY effect DESC, study_id) AS rn FROM weights_tp)""")
+ {sql6('effect', 'se', 'weight_pct', 'sqrt(weight_pct)*3+5 AS marker')} FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY round(effect,9) DESC, study_id) AS rn FROM weights_tp)""")
 def _(t):
     return rounded(reports.forest_table(weights(t), BR))
 
@@ -81,11 +82,11 @@ def _(t):
 
 def report_facts(t):
     s, p = brands(t)
-    loo = sensitivity.leave_one_out(s, p, BR)
+    loo = settle(sensitivity.leave_one_out(s, p, BR))
     flagged = sensitivity.influential(loo, sensitivity.influence(s, p, BR, loo), p, BR)
     robust = sensitivity.robustness(loo, flagged, p, BR)
     history = p.select("brand", (F.col("re_effect") - F.lit(0.3) * (F.length("brand") % 2)).alias("historical_effect"))
-    return reports.facts(p, bias.bias_severity(s, p, BR), robust, BR, history)
+    return settle(reports.facts(p, bias.bias_severity(s, p, BR), robust, BR, history))
 
 
 cte("influence_tp", """SELECT *, abs(dfbetas)>2/sqrt(k) OR cooks_distance>4/k AS is_influential FROM (
@@ -198,9 +199,9 @@ def asked(t):
     return t.studies_events.select("study_id", "metric", "effect", pick.alias("industry"))
 
 
-@query("m35_benchmark_lookup", "SELECT study_id, industry, metric, benchmark_metric, median, base_n FROM benched")
+@query("m35_benchmark_lookup", "SELECT study_id, industry, metric, benchmark_metric, median, coalesce(base_n,0) AS base_n FROM benched")
 def _(t):
-    return reports.benchmark_lookup(asked(t)).select("study_id", "industry", "metric", "benchmark_metric", "median", "base_n")
+    return reports.benchmark_lookup(asked(t)).select("study_id", "industry", "metric", "benchmark_metric", "median", F.coalesce("base_n", F.lit(0)).alias("base_n"))
 
 
 @query("m36_benchmark_band", "SELECT study_id, benchmark_metric, CASE WHEN effect<=p25 THEN 'below_average' WHEN effect<=median THEN 'average' WHEN effect<=p75 THEN 'above_average' ELSE 'exceptional' END AS category FROM benched WHERE benchmark_metric IS NOT NULL")
