@@ -78,25 +78,27 @@ def _scores(base: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
     return unit(asked) @ unit(base).T
 
 
-def _best(qids, asked, ids, base, k, metric) -> pd.DataFrame:
-    """Best k rows per query of one batch, ties by id."""
-    s = np.round(_scores(base, asked, metric), 9)
-    keep = min(k, len(ids))
+def _best(q: pd.DataFrame, b: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """Best k rows of one batch per query, inside the query's group, ties by id."""
     out = []
-    for row, q in enumerate(qids):
-        line = s[row]
-        if keep < len(ids):
-            edge = np.partition(line, len(ids) - keep)[len(ids) - keep]
-            sel = np.flatnonzero(line >= edge)
-        else:
-            sel = np.arange(len(ids))
-        order = sel[np.lexsort((ids[sel], -line[sel]))][:keep]
-        out.append(pd.DataFrame({"qid": q, "id": ids[order], "score": line[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
-
-
-def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", dim: int = 64) -> DataFrame:
-    """Exact nearest vectors: (qid, id, score, rank).
+    for g, asked in q.groupby("grp", sort=False):
+        base = b[b["grp"] == g]
+        if not len(base):
+            continue
+        ids = base["id"].to_numpy()
+        s = np.round(_scores(np.stack(base["vec"].to_numpy()).astype("float64"), np.stack(asked["vec"].to_numpy()).astype("float64"), metric), 9)
+        keep = min(k, len(ids))
+        for line, qid in zip(s, asked["qid"]):
+            sel = np.flatnonzero(line >= np.partition(line, len(ids) - keep)[len(ids) - keep])
+            order = sel[np.lexsort((ids[sel], -line[sel]))][:keep]
+            out.append(pd.DataFrame({"qid": qid, "id": ids[order], "score": line[order]}))
+    if not out:
+        return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    return pd.concat(out)
+
+
+def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", dim: int = 64, group: str | None = None) -> DataFrame:
+    """Exact nearest vectors: (qid, id, score, rank), optionally only inside the same ``group``.
 
     No pair leaves a task: each task multiplies its batch of vectors with the
     queries and emits k rows per query. The query matrix is sent to the tasks
@@ -104,19 +106,16 @@ def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cos
     cut into blocks that meet blocks of vectors by key.
     """
     spark = base.sparkSession
-    usable = lambda d, i: d.select(F.col(i).cast("long").alias(i), F.col("vec").cast("array<double>").alias("vec")).filter(F.size("vec") == dim)
+    grp = (F.col(group).cast("string") if group else F.lit("")).alias("grp")
+    usable = lambda d, i: d.select(F.col(i).cast("long").alias(i), grp, F.col("vec").cast("array<double>").alias("vec")).filter(F.size("vec") == dim)
     queries, base = usable(queries, "qid"), usable(base, "id")
     n_q = queries.count()
     if n_q * dim * 8 <= QUERY_BYTES:
-        rows = queries.orderBy("qid").collect()
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows], dtype="int64"),
-                                               np.array([r.vec for r in rows], dtype="float64").reshape(len(rows), dim)))
+        shared = spark.sparkContext.broadcast(queries.orderBy("qid").toPandas())
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, asked = shared.value
             for pdf in batches:
-                if len(pdf) and len(qids):
-                    yield _best(qids, asked, pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype("float64"), k, metric)
+                yield _best(shared.value, pdf, k, metric)
 
         part = base.mapInPandas(scan, "qid long, id long, score double")
     else:
@@ -124,13 +123,8 @@ def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cos
         salts = max(1, math.ceil(base.count() / BLOCK_ROWS))
         left = queries.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(n_b)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         right = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-
-        def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(b):
-                return pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": "int64", "id": "int64", "score": "float64"})
-            return _best(q["qid"].to_numpy(), np.stack(q["vec"].to_numpy()), b["id"].to_numpy(), np.stack(b["vec"].to_numpy()), k, metric)
-
-        part = left.groupBy("blk", "salt").cogroup(right.groupBy("blk", "salt")).applyInPandas(meet, "qid long, id long, score double")
+        part = left.groupBy("blk", "salt").cogroup(right.groupBy("blk", "salt")).applyInPandas(
+            lambda q, b: _best(q, b, k, metric), "qid long, id long, score double")
     return top_k(part, ["qid"], [F.desc("score"), "id"], k)
 
 
