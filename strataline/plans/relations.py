@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.effects import log_odds_ratio, log_odds_se
+from . import stories
 from .registry import cte
 
 
@@ -37,6 +38,18 @@ class Tables:
     def studies_tpch(self) -> DataFrame:
         return studies_tpch(self.lineitem, self.part)
 
+    @cached_property
+    def segments(self) -> DataFrame:
+        return stories.segments(self.conversations)
+
+    @cached_property
+    def g_nodes(self) -> DataFrame:
+        return stories.g_nodes(self)
+
+    @cached_property
+    def g_edges(self) -> DataFrame:
+        return stories.g_edges(self)
+
 
 def with_effects(counts: DataFrame) -> DataFrame:
     """Add effect, se, variance and weight to rows with the four counts, dropping invalid rows."""
