@@ -49,14 +49,17 @@ def _entity_like(w: Column) -> Column:
     return ((F.length(w) >= 2) & (F.upper(first) == first) & (F.lower(first) != first) & (F.upper(w) != w) & ~F.lower(w).isin(*lexicons.NOT_ENTITY))
 
 
+def _relation_row(i: int, kind: str, sure: float):
+    return lambda x: F.struct(F.lit(i).alias("ord"), x["s"].alias("source"), x["t"].alias("target"), F.lit(kind).alias("relation"), F.lit(sure).alias("confidence"))
+
+
 def pattern_relations(df: DataFrame, text: str = "text") -> DataFrame:
     """Relations by the fixed patterns; all patterns are tried in one pass over each text."""
     per = []
     for i, (pattern, kind, sure) in enumerate(lexicons.RELATION_PATTERNS):
         p = F.lit("(?i)" + pattern)
         pairs = F.arrays_zip(F.regexp_extract_all(F.col(text), p, F.lit(1)).alias("s"), F.regexp_extract_all(F.col(text), p, F.lit(2)).alias("t"))
-        per.append(F.transform(pairs, lambda x, i=i, kind=kind, sure=sure: F.struct(
-            F.lit(i).alias("ord"), x["s"].alias("source"), x["t"].alias("target"), F.lit(kind).alias("relation"), F.lit(sure).alias("confidence"))))
+        per.append(F.transform(pairs, _relation_row(i, kind, sure)))
     found = F.filter(F.concat(*per), lambda r: _entity_like(r.source) & _entity_like(r.target))
     out = df.select(*[c for c in df.columns if c != text], F.posexplode(found).alias("seq", "r"))
     rel = out.select(*[c for c in out.columns if c != "r"], "r.*")

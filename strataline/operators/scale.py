@@ -35,8 +35,8 @@ def sliced(df: DataFrame, keys: list[str], order: list[str], slice_rows: int = S
     """
     place = F.struct(*[F.col(c) for c in order])
     picked = df.filter(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(slice_rows)) == 0)
-    cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(place)).alias("_all")).select(
-        *keys, F.filter("_all", lambda c, i: i % F.ceil(F.size("_all") / CUTS) == 0).alias("_cuts"))
+    cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(place)).alias("_pts")).select(
+        *keys, F.filter("_pts", lambda c, i: i % F.ceil(F.size("_pts") / CUTS) == 0).alias("_cuts"))
     low = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
     return df.join(cuts, keys, "left").withColumn(
         "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(low)).drop("_cuts")
@@ -83,6 +83,22 @@ def blocked(df: DataFrame, keys: list[str], position: str, back: int = 0, ahead:
             .withColumns({"_block": F.col("_p.b"), "_own": F.col("_p.o")}).drop("_p"))
 
 
+def with_prior(df: DataFrame, keys: list[str], order: list[str], prefix: str = "prev_") -> DataFrame:
+    """Rows with all columns of the row before in their group; the first row of a group is left out."""
+    rows = settle(numbered(df, keys, order))
+    before = rows.select(*keys, (F.col("rn") + 1).alias("rn"), *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
+    return rows.join(before, [*keys, "rn"])
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
+    """Add ``prev``: the values of the n rows before, oldest first. Joins on (keys, position), so no group is gathered."""
+    rows = settle(numbered(df, keys, order))
+    ahead = rows.select(*keys, F.col("rn").alias("_at"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_j"))
+    lists = ahead.groupBy(*keys, (F.col("_at") + F.col("_j")).alias("rn")).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_l"))
+    out = rows.join(lists, [*keys, "rn"], "left")
+    return out.withColumn("prev", F.coalesce(F.transform("_l", lambda x: x["_v"]), F.array().cast("array<string>"))).drop("_l")
+
+
 def value_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per distinct value: ``cnt`` rows, ``upto`` rows at or below it."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))

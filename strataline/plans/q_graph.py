@@ -20,7 +20,9 @@ def lit(values):
     return "(" + ",".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
 
-NAMES_OF = "list_filter(list_distinct(regexp_extract_all({0},'\\b([A-Z][a-z]+(?:\\s[A-Z][a-z]+)?)\\b',1)), lambda x: x NOT IN " + lit(lexicons.COMMON_WORDS) + ")"
+# Without look-around: separators are doubled, so that each name can take one on either side.
+NAMES_OF = ("list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace({0},'([^\\p{{L}}\\p{{N}}_])','\\1\\1','g'),'(?:^|[^\\p{{L}}\\p{{N}}_])([A-Z][a-z]+(?:\\s\\s[A-Z][a-z]+)?)(?:$|[^\\p{{L}}\\p{{N}}_])',1), "
+            "lambda x: regexp_replace(x,'(\\s)\\s','\\1'))), lambda x: x NOT IN " + lit(lexicons.COMMON_WORDS) + ")")
 SENTS = "list_filter(list_transform(regexp_split_to_array({0},'[.!?]+'), lambda x: " + STRIP.format("x") + "), lambda x: x<>'')"
 
 cte("doc_entities", f"SELECT doc_id, lang, unnest({NAMES_OF.format('text')}) AS name FROM documents")

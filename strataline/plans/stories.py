@@ -88,26 +88,31 @@ def g_edges(t) -> DataFrame:
     """(edge_id, src, dst, relation, strength, chapter)."""
     k, o = F.col("c_custkey"), F.col("o_orderkey")
     s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    edge = lambda df, tag, src, dst, rel, strength, chapter: df.select(
-        F.concat(F.lit(tag + ":"), src, F.lit(">"), dst).alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit(rel).alias("relation"),
-        strength.cast("double").alias("strength"), chapter.cast("int").alias("chapter"))
     chapter = F.year("o_orderdate") - 1991
     known = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    def made(tag, src, dst, rel, strength, ch, keep=F.lit(True)):
+        st = strength.cast("double") if not isinstance(strength, float) else F.lit(strength)
+        return F.when(keep, F.struct(F.concat(F.lit(tag + ":"), src, F.lit(">"), dst).alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit(rel).alias("relation"),
+                                     st.alias("strength"), ch.cast("int").alias("chapter")))
+    # All edges of a table come from one scan of it.
+    spread = lambda df, *rows: df.select(F.explode(F.array_compact(F.array(*rows))).alias("e")).select("e.*")
+    cust, order = s("c", k), s("o", o)
+    ties = spread(t.customer, *[made(str(20 + i), cust, s("c", k + step), rel, w, k % 5 + 1, k % mod == rem) for i, (step, rel, mod, rem, w) in enumerate(TIES)])
+    side = spread(t.orders, made("16", s("c", F.floor(o / 6)), order, "PARTICIPATED_IN", 0.4, chapter))
+    ties = ties.join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("edge_id", "src", "dst", "relation", "strength", "chapter")
+    side = side.join(known.withColumnRenamed("id", "src"), "src", "left_semi").select("edge_id", "src", "dst", "relation", "strength", "chapter")
     parts = [
-        edge(t.customer, "10", s("c", k), s("n", F.col("c_nationkey")), "LOCATED_IN", F.lit(0.9), k % 5 + 1),
-        edge(t.supplier, "11", s("s", F.col("s_suppkey")), s("n", F.col("s_nationkey")), "LOCATED_IN", F.lit(0.9), F.col("s_suppkey") % 4 + 1),
-        edge(t.nation, "12", s("n", F.col("n_nationkey")), s("r", F.col("n_regionkey")), "LOCATED_IN", F.lit(1.0), F.lit(1)),
-        edge(t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey")), "13", s("c", k), s("s", k), "MEMBER_OF", F.lit(0.7), F.lit(2)),
-        edge(t.customer.join(t.part, F.col("c_custkey") == F.col("p_partkey")), "14", s("p", k), s("c", k), "OWNED_BY", F.lit(0.5), k % 8 + 1),
-        edge(t.orders, "15", s("c", F.col("o_custkey")), s("o", o), "PARTICIPATED_IN", 0.5 + o % 5 / 10, chapter),
-        edge(t.orders.filter("o_orderkey % 8 <> 0"), "17", s("o", o - 1), s("o", o), "CAUSED_BY", 0.6 + o % 4 / 10, chapter),
-        edge(t.orders.filter("o_orderkey % 4 <> 0"), "18", s("o", o), s("n", F.floor(o / 6) % 25), "LOCATED_IN", F.lit(0.8), chapter),
+        side,
+        spread(t.customer, made("10", cust, s("n", F.col("c_nationkey")), "LOCATED_IN", 0.9, k % 5 + 1)),
+        spread(t.supplier, made("11", s("s", F.col("s_suppkey")), s("n", F.col("s_nationkey")), "LOCATED_IN", 0.9, F.col("s_suppkey") % 4 + 1)),
+        spread(t.nation, made("12", s("n", F.col("n_nationkey")), s("r", F.col("n_regionkey")), "LOCATED_IN", 1.0, F.lit(1))),
+        spread(t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey")), made("13", cust, s("s", k), "MEMBER_OF", 0.7, F.lit(2))),
+        spread(t.customer.join(t.part, F.col("c_custkey") == F.col("p_partkey")), made("14", s("p", k), cust, "OWNED_BY", 0.5, k % 8 + 1)),
+        spread(t.orders, made("15", s("c", F.col("o_custkey")), order, "PARTICIPATED_IN", 0.5 + o % 5 / 10, chapter),
+               made("17", s("o", o - 1), order, "CAUSED_BY", 0.6 + o % 4 / 10, chapter, o % 8 != 0),
+               made("18", order, s("n", F.floor(o / 6) % 25), "LOCATED_IN", 0.8, chapter, o % 4 != 0)),
     ]
-    side = edge(t.orders, "16", s("c", F.floor(o / 6)), s("o", o), "PARTICIPATED_IN", F.lit(0.4), chapter)
-    for i, (step, rel, mod, rem, w) in enumerate(TIES):
-        side = side.unionByName(edge(t.customer.filter(F.col("c_custkey") % mod == rem), str(20 + i), s("c", k), s("c", k + step), rel, F.lit(w), k % 5 + 1))
-    out = side.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        known.unionByName(t.orders.select(s("o", o).alias("id"))).withColumnRenamed("id", "dst"), "dst", "left_semi").select("edge_id", "src", "dst", "relation", "strength", "chapter")
+    out = ties
     for p in parts:
         out = out.unionByName(p)
     return out
