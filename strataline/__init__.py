@@ -1 +1,8 @@
 """Spark-native analytics over experiments, text corpora and narrative graphs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -42,6 +42,14 @@ class Tables:
     def segments(self) -> DataFrame:
         return stories.segments(self.conversations)
 
+    @cached_property
+    def char_states(self) -> DataFrame:
+        return stories.char_states(self.events)
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        return stories.feedback(self.events)
+
     @cached_property
     def g_nodes(self) -> DataFrame:
         return stories.g_nodes(self)

@@ -132,3 +132,40 @@ _P = [("10", "'c'||c_custkey", "'n'||c_nationkey", "LOCATED_IN", "0.9", "c_custk
 _P += [(str(20 + i), "'c'||c_custkey", f"'c'||(c_custkey+{st})", rel, str(w), "c_custkey%5+1", f"customer WHERE c_custkey%{m}={r} AND c_custkey+{st} IN (SELECT c_custkey FROM customer)")
        for i, (st, rel, m, r, w) in enumerate(TIES)]
 cte("g_edges", " UNION ALL ".join(_E.format(tag=a, src=b, dst=c, rel=d, w=e, ch=f, frm=g) for a, b, c, d, e, f, g in _P))
+
+TYPES = ["click", "error", "purchase", "signup", "view"]
+MOODS = ["hopeful", "desperate", "angry", "conflicted", "neutral", "resolved", "happy", "terrified"]
+
+
+def char_states(events: DataFrame) -> DataFrame:
+    """(character, chapter, emotion, goals, relationships, knowledge, phase): one state per user and day."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    per = events.groupBy(F.col("user_id").alias("character"), (day + 1).cast("long").alias("chapter")).agg(
+        F.sum("event_id").alias("s"), *[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(f"a_{t}") for t in TYPES],
+        *[F.max(F.when(F.col("event_type") == t, F.col("value"))).alias(f"m_{t}") for t in TYPES])
+    there = lambda c, test: F.array_compact(F.array(*[F.when(test(F.col(f"{c}_{t}")), F.lit(t)) for t in TYPES]))
+    ties = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(f"a_{t}").isNotNull(), F.struct(F.lit(t), F.round(F.col(f"a_{t}") / 100, 6))) for t in TYPES])))
+    from ..operators.arcs import phase_of
+
+    return per.select("character", "chapter", _pick(MOODS, F.col("s")).alias("emotion"), there("a", lambda x: x > 40).alias("goals"), ties.alias("relationships"),
+                      there("m", lambda x: x > 100).alias("knowledge"), phase_of(F.col("chapter")).alias("phase"))
+
+
+cte("char_states", f"""SELECT character, chapter, ({_q(MOODS)})[s%{len(MOODS)}+1] AS emotion, list_filter([{','.join(f"CASE WHEN a_{t}>40 THEN '{t}' END" for t in TYPES)}], lambda x: x IS NOT NULL) AS goals,
+ list_filter([{','.join(f"CASE WHEN m_{t}>100 THEN '{t}' END" for t in TYPES)}], lambda x: x IS NOT NULL) AS knowledge, CASE WHEN chapter<=3 THEN 'setup' WHEN chapter<=8 THEN 'rising_action' WHEN chapter<=12 THEN 'crisis' WHEN chapter<=15 THEN 'climax' ELSE 'resolution' END AS phase,
+ {','.join(f'round(a_{t}/100,6) AS r_{t}' for t in TYPES)} FROM (SELECT user_id AS character, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))+1 AS chapter, CAST(sum(event_id) AS BIGINT) AS s,
+ {','.join(f"avg(value) FILTER (event_type='{t}') AS a_{t}, max(value) FILTER (event_type='{t}') AS m_{t}" for t in TYPES)} FROM events GROUP BY 1,2)""")
+
+
+def feedback(events: DataFrame) -> DataFrame:
+    """(story, seq, chapter, approach, five ratings, selected_best)."""
+    e = F.col("event_id")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    from ..functions.lexicons import APPROACHES, RATINGS
+
+    return events.select(F.col("user_id").alias("story"), e.alias("seq"), (day + 1).cast("long").alias("chapter"), _pick(APPROACHES, e).alias("approach"),
+                         *[(1 + F.floor(F.col("value") * (i + 1)) % 5).alias(r) for i, r in enumerate(RATINGS)], (e % 4 == 0).alias("selected_best"))
+
+
+cte("feedback", "SELECT user_id AS story, event_id AS seq, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))+1 AS chapter, (['unified','graph','hybrid'])[event_id%3+1] AS approach, "
+    + ", ".join(f"1+CAST(floor(value*{i + 1}) AS BIGINT)%5 AS {r}" for i, r in enumerate(["overall", "consistency", "creativity", "character_authenticity", "plot_coherence"])) + ", event_id%4=0 AS selected_best FROM events")
