@@ -15,17 +15,25 @@ K = ["story", "chapter"]
 
 
 def tropes(segments: DataFrame, names: list[str]) -> DataFrame:
-    """First chapter of each trope per story with confidence, evidence and involved names."""
-    low = F.lower("text")
-    made = []
-    for name, (category, keys, anti, need) in lexicons.TROPES.items():
-        n = count_hits(low, keys)
-        ok = (n >= need) & (count_hits(low, anti) == 0)
-        hits = F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(F.lower("text"), k))
-        made.append(F.when(ok, F.struct(F.lit(name).alias("trope"), F.lit(category).alias("category"), F.round(F.least(F.lit(1.0), n / (need + 2)), 6).alias("confidence"), hits.alias("hits"))))
-    found = segments.select(*K, "text", F.explode(F.array_compact(F.array(*made))).alias("t")).select(*K, "text", "t.*")
-    first = found.groupBy("story", "trope", "category").agg(F.min("chapter").alias("chapter"))
-    one = found.join(first, ["story", "trope", "category", "chapter"])
+    """First chapter of each trope per story with confidence, evidence and involved names.
+
+    The words found become rows that are counted per (segment, trope); the
+    texts themselves are not shuffled until the first chapters are known.
+    """
+    spec = [(t, i, k, False) for t, (_, keys, _, _) in lexicons.TROPES.items() for i, k in enumerate(keys)]
+    spec += [(t, -1, k, True) for t, (_, _, anti, _) in lexicons.TROPES.items() for k in anti]
+    rows = F.array(*[F.struct(F.lit(t).alias("trope"), F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(x).alias("anti")) for t, i, k, x in spec])
+    low = segments.select(*K, F.lower("text").alias("low"))
+    hits = low.select(*K, F.explode(F.filter(rows, lambda r: F.contains(F.col("low"), r.k))).alias("h")).select(*K, "h.*")
+    need = F.create_map(*[x for t, (_, _, _, n) in lexicons.TROPES.items() for x in (F.lit(t), F.lit(n))])
+    kind = F.create_map(*[x for t, (c, _, _, _) in lexicons.TROPES.items() for x in (F.lit(t), F.lit(c))])
+    per = hits.groupBy(*K, "trope").agg(F.count_if(~F.col("anti")).alias("n"), F.bool_or("anti").alias("anti"),
+                                        F.array_sort(F.collect_list(F.when(~F.col("anti"), F.struct("i", "k")))).alias("h"))  # ten words at most
+    ok = per.filter(~F.col("anti") & (F.col("n") >= need[F.col("trope")]))
+    first = ok.groupBy("story", "trope").agg(F.min_by(F.struct("chapter", "n", "h"), "chapter").alias("f"))
+    found = first.select("story", "trope", kind[F.col("trope")].alias("category"), "f.chapter", F.round(F.least(F.lit(1.0), F.col("f.n") / (need[F.col("trope")] + 2)), 6).alias("confidence"),
+                         F.transform("f.h", lambda x: x.k).alias("hits"))
+    one = found.join(segments.select(*K, "text"), K)
     sentence_of = lambda k: F.substring(strip(F.get(F.filter(F.split("text", r"\."), lambda s: F.contains(F.lower(s), k)), F.lit(0))), 1, 100)
     involved = F.slice(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower("text"), F.lower(n))), 1, 3)
     return one.select("story", "trope", "category", "chapter", "confidence", F.transform(F.slice("hits", 1, 3), sentence_of).alias("evidence"), involved.alias("involved"))

@@ -94,12 +94,23 @@ def semantic_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     return d.select(doc, F.posexplode(final).alias("chunk_index", "text"))
 
 
+# What a text must contain for a pattern to be tried at all.
+HINTS = {"email": lambda t: t.contains("@"), "phone": lambda t: t.rlike("[0-9]{3}"), "api_key": lambda t: t.contains("sk-") | t.contains("key-"),
+         "ipv4": lambda t: t.rlike(r"[0-9]\.[0-9]"), "ssn": lambda t: t.rlike("[0-9]-[0-9]")}
+
+
 def redact(text: Column) -> tuple[Column, Column]:
-    """Redacted text and number of findings; each pattern sees the replacements of the ones before."""
+    """Redacted text and number of findings; each pattern sees the replacements of the ones before.
+
+    No pattern can take in a bracketed mark, so the findings are the marks that were added.
+    """
     out, found = text, F.lit(0)
     for name, pattern in lexicons.PII:
-        found = found + F.regexp_count(out, F.lit(pattern))
-        out = F.regexp_replace(out, pattern, f"[REDACTED_{name.upper()}]")
+        out = F.when(HINTS[name](out), F.regexp_replace(out, pattern, f"[REDACTED_{name.upper()}]")).otherwise(out)
+    for name, _ in lexicons.PII:
+        mark = f"[REDACTED_{name.upper()}]"
+        marks = lambda t: (F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)
+        found = found + (marks(out) - marks(text)).cast("int")
     return out, found
 
 
@@ -112,16 +123,17 @@ def profile(docs: DataFrame, text: str = "text", digits: tuple[int, int, int] =
     d = d.withColumn("_n", F.size("_w")).withColumn("_s", F.size(F.filter(F.split(text, r"\."), lambda x: strip(x) != "")))
 
     def syllables(w):
-        low = F.lower(w)
-        runs = F.regexp_count(low, F.lit("[aeiouy]+")) - F.when(low.endswith("e"), 1).otherwise(0)
-        return F.when(F.length(low) <= 3, 1).otherwise(F.greatest(F.lit(1), runs))
+        # Vowels become "a", everything else a space: the runs are the words of what is left.
+        runs = F.size(F.filter(F.split(F.regexp_replace(F.translate(w, "eiouy", "aaaaa"), "[^a]+", " "), " "), lambda x: x != "")) - F.when(w.endswith("e"), 1).otherwise(0)
+        return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), runs))
 
+    d = d.withColumn("_w", F.transform("_w", F.lower))
     syl = F.aggregate(F.transform("_w", syllables), F.lit(0), lambda a, x: a + x)
     ok = (F.col("_n") > 0) & (F.col("_s") > 0)
     per = F.col("_n") / F.col("_s")
     grade = 0.39 * per + 11.8 * (syl / F.col("_n")) - 15.59
     d = d.withColumn("_g", F.when(ok, grade))
-    kinds = F.size(F.array_distinct(F.transform("_w", F.lower)))
+    kinds = F.size(F.array_distinct("_w"))
     return d.withColumns({
         "reading_grade_level": F.when(ok, F.round("_g", digits[0])).otherwise(0.0),
         "lexical_diversity": F.when(ok, F.round(kinds / F.col("_n"), digits[1])).otherwise(0.0),

@@ -160,19 +160,24 @@ def _(t):
     return rounded(stats.join(o, "label").select("label", co.semantic(c("o"), c("x"), c("v")).alias("semantic")))
 
 
-cte("scores", "SELECT story, chapter, approach, 0.25*0.5+0.2*(overlap+rouge_l*0.4)+0.25*discourse+0.15*temporal+0.15*voice AS composite FROM segments JOIN lexical USING (story, chapter) JOIN rouge USING (story, chapter) JOIN s_discourse USING (story, chapter) JOIN s_temporal USING (story, chapter) JOIN s_voice USING (story, chapter)")
+def parts(t):
+    s = co.lexical(scored(t), "method")
+    return s.withColumns({p: F.round(p, 6) + F.lit(0.0) for p in ("lexical", "discourse", "temporal", "voice")})
 
 
-# The check relations carry six digits per part, so the sums are compared at four.
-@query("n22_composite", "SELECT story, chapter, approach, round(composite,4)+0.0 AS composite FROM scores")
+cte("scores", "SELECT story, chapter, approach, 0.25*0.5+0.2*round(overlap+rouge_l*0.4,6)+0.25*discourse+0.15*temporal+0.15*voice AS composite FROM segments JOIN lexical USING (story, chapter) JOIN (SELECT story, chapter, rouge_l FROM rouge) USING (story, chapter) JOIN s_discourse USING (story, chapter) JOIN s_temporal USING (story, chapter) JOIN s_voice USING (story, chapter)")
+
+
+# Both sides round each part to six digits before it is weighted.
+@query("n22_composite", "SELECT story, chapter, approach, round(composite,9)+0.0 AS composite FROM scores")
 def _(t):
-    return co.composite(co.lexical(scored(t), "method")).select("story", "chapter", "approach", (F.round("composite", 4) + F.lit(0.0)).alias("composite"))
+    return co.composite(parts(t)).select("story", "chapter", "approach", (F.round("composite", 9) + F.lit(0.0)).alias("composite"))
 
 
-@query("n22_approach_comparison", "SELECT story, " + ", ".join(f"round(avg(composite) FILTER (approach='{a}'),4)+0.0 AS {a}" for a in lexicons.APPROACHES) + " FROM scores GROUP BY 1")
+@query("n22_approach_comparison", "SELECT story, " + ", ".join(f"round(avg(composite) FILTER (approach='{a}'),9)+0.0 AS {a}" for a in lexicons.APPROACHES) + " FROM scores GROUP BY 1")
 def _(t):
-    out = co.compare_approaches(co.composite(co.lexical(scored(t), "method")))
-    return out.select("story", *[(F.round(a, 4) + F.lit(0.0)).alias(a) for a in lexicons.APPROACHES])
+    out = co.compare_approaches(co.composite(parts(t)))
+    return out.select("story", *[(F.round(a, 9) + F.lit(0.0)).alias(a) for a in lexicons.APPROACHES])
 
 
 def log(t):

@@ -19,6 +19,15 @@ def r6(c, name: str | None = None) -> Column:
     return out.alias(name or c) if (name or isinstance(c, str)) else out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give text work to every core when the scan has fewer splits than cores.
+
+    A small file is one split; a large table has many, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to the parquet tables of one folder and to derived relations."""
 
@@ -28,7 +37,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ("documents", "conversations", "pages") else df
 
     @cached_property
     def studies_events(self) -> DataFrame:
