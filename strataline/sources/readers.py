@@ -39,8 +39,7 @@ def status_report(rows: DataFrame, file: str = "source_file", valid: str = "vali
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One row per text file below the path; unreadable files are skipped."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-          .option("ignoreCorruptFiles", True).text(path))
+    df = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return df.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
 
 
