@@ -55,7 +55,7 @@ def test_feedback_and_csv_sink(spark, tmp_path):
 
 
 def test_recursive_chunks():
-    text = "\n\n".join("Sentence number %d is here. " % i * 12 for i in range(20)) + "x" * 2500
+    text = "\n\n".join("".join(f"Sentence number {i * 100 + j} is here. " for j in range(i)) for i in range(60)) + "".join(chr(0x4E00 + i) for i in range(2500))
     parts = textprep.recursive_pieces(text)
     assert all(0 < len(p) <= 1000 for p in parts)
     squeeze = lambda s: "".join(s.split())
