@@ -203,7 +203,7 @@ def _cornish(z: float, df):
 
 
 def t_quantile(df: Column, confidence: float = 0.95) -> Column:
-    table = F.array(*[F.lit(v) for v in _table(confidence)])
+    table = F.expr("array(" + ",".join(f"{v!r}D" for v in _table(confidence)) + ")")
     small = F.element_at(table, F.greatest(F.least(df, F.lit(EXACT_DF)), F.lit(1)).cast("int"))
     large = _cornish(z_quantile(confidence), df.cast("double"))
     return F.when(df < 1, F.lit(None).cast("double")).when(df <= EXACT_DF, small).otherwise(large)

@@ -9,6 +9,9 @@ executor recomputes the same slices.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +24,13 @@ CUTS = 512
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several later steps read, and read it back.
 
-    Uses a reliable checkpoint in the shared folder, so it outlives executors.
+    A parquet table in the shared folder outlives executors, is read column by
+    column, and gives the planner its true size for join choices.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sliced(df: DataFrame, keys: list[str], order: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
