@@ -78,53 +78,85 @@ def _scores(base: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
     return unit(asked) @ unit(base).T
 
 
-def _best(q: pd.DataFrame, b: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
-    """Best k rows of one batch per query, inside the query's group, ties by id."""
+CELLS = 4_000_000
+
+
+def _best(q: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, max_age: float | None) -> pd.DataFrame:
+    """Best k rows of one block of vectors per query, inside the query's group, ties by id.
+
+    Queries are taken in strips, so the score table in memory stays below ``CELLS``.
+    """
     out = []
+    b = b.sort_values("id", kind="stable")
     for g, asked in q.groupby("grp", sort=False):
         base = b[b["grp"] == g]
         if not len(base):
             continue
-        ids = base["id"].to_numpy()
-        s = np.round(_scores(np.stack(base["vec"].to_numpy()).astype("float64"), np.stack(asked["vec"].to_numpy()).astype("float64"), metric), 9)
-        keep = min(k, len(ids))
-        for line, qid in zip(s, asked["qid"]):
-            sel = np.flatnonzero(line >= np.partition(line, len(ids) - keep)[len(ids) - keep])
-            order = sel[np.lexsort((ids[sel], -line[sel]))][:keep]
-            out.append(pd.DataFrame({"qid": qid, "id": ids[order], "score": line[order]}))
+        ids, born = base["id"].to_numpy(), base["at"].to_numpy()
+        vecs = np.stack(base["vec"].to_numpy()).astype("float64")
+        keep, strip = min(k, len(ids)), max(1, CELLS // len(ids))
+        for i in range(0, len(asked), strip):
+            part = asked.iloc[i:i + strip]
+            s = np.round(_scores(vecs, np.stack(part["vec"].to_numpy()).astype("float64"), metric), 9)
+            if max_age is not None:
+                age = part["at"].to_numpy()[:, None] - born[None, :]
+                s = np.where((age >= 0) & (age <= max_age), s, -np.inf)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
+            score = np.take_along_axis(s, top, axis=1).ravel()
+            rows = pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), keep), "id": ids[top].ravel(), "score": score})
+            out.append(rows[np.isfinite(score)])
     if not out:
         return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     return pd.concat(out)
 
 
-def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", dim: int = 64, group: str | None = None) -> DataFrame:
+def _blocks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Arrow batches gathered to blocks of about ``rows`` rows, so fewer partial results are emitted."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
+def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", dim: int = 64, group: str | None = None,
+                 max_age: float | None = None) -> DataFrame:
     """Exact nearest vectors: (qid, id, score, rank), optionally only inside the same ``group``.
 
-    No pair leaves a task: each task multiplies its batch of vectors with the
+    With ``max_age`` both sides carry ``at``, and only vectors that are not
+    younger than the query and at most that much older count.
+
+    No pair leaves a task: each task multiplies its block of vectors with the
     queries and emits k rows per query. The query matrix is sent to the tasks
     only when its counted size is below ``QUERY_BYTES``; larger query sets are
     cut into blocks that meet blocks of vectors by key.
     """
     spark = base.sparkSession
     grp = (F.col(group).cast("string") if group else F.lit("")).alias("grp")
-    usable = lambda d, i: d.select(F.col(i).cast("long").alias(i), grp, F.col("vec").cast("array<double>").alias("vec")).filter(F.size("vec") == dim)
+    at = (F.col("at").cast("double") if max_age is not None else F.lit(0.0)).alias("at")
+    usable = lambda d, i: d.select(F.col(i).cast("long").alias(i), grp, at, F.col("vec").cast("array<double>").alias("vec")).filter(F.size("vec") == dim)
     queries, base = usable(queries, "qid"), usable(base, "id")
     n_q = queries.count()
+    block = BLOCK_ROWS
     if n_q * dim * 8 <= QUERY_BYTES:
         shared = spark.sparkContext.broadcast(queries.orderBy("qid").toPandas())
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield _best(shared.value, pdf, k, metric)
+            for pdf in _blocks(batches, block):
+                yield _best(shared.value, pdf, k, metric, max_age)
 
         part = base.mapInPandas(scan, "qid long, id long, score double")
     else:
         n_b = max(1, math.ceil(n_q * dim * 8 / QUERY_BYTES))
-        salts = max(1, math.ceil(base.count() / BLOCK_ROWS))
+        salts = max(1, math.ceil(base.count() / block))
         left = queries.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(n_b)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         right = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
         part = left.groupBy("blk", "salt").cogroup(right.groupBy("blk", "salt")).applyInPandas(
-            lambda q, b: _best(q, b, k, metric), "qid long, id long, score double")
+            lambda q, b: _best(q, b, k, metric, max_age), "qid long, id long, score double")
     return top_k(part, ["qid"], [F.desc("score"), "id"], k)
 
 
@@ -281,20 +313,15 @@ def context_blocks(results: DataFrame, limit: int = 1500) -> DataFrame:
 def cache_lookup(queries: DataFrame, cache: DataFrame, ttl_seconds: int = 3600, threshold: float = 0.95, dim: int = 64) -> DataFrame:
     """Best live cache entry per query, or a miss.
 
-    Entries are grouped by age class first, so every query only meets entries
-    that are alive at its time: ``epoch`` is cut into TTL wide slots and a
-    query reads its own slot and the one before.
+    Time is cut into TTL wide slots and a query looks into its own slot and the
+    one before; inside a slot the vector search keeps one entry per query, so
+    no list of pairs is made however many entries a slot holds.
     """
     slot = lambda c: F.floor(c / ttl_seconds)
-    asked = queries.select(F.col("qid"), F.col("vec").alias("qv"), F.col("epoch").alias("at"),
-                           F.explode(F.array(slot(F.col("epoch")), slot(F.col("epoch")) - 1)).alias("slot"))
-    held = cache.select("entry", F.col("vec").alias("cv"), F.col("epoch").alias("born"), slot(F.col("epoch")).alias("slot"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda a: F.sqrt(dot(a, a))
-    near = asked.join(held, "slot").filter((F.col("born") <= F.col("at")) & (F.col("at") - F.col("born") <= ttl_seconds))
-    near = near.withColumn("sim", F.round(dot(F.col("qv"), F.col("cv")) / (norm(F.col("qv")) * norm(F.col("cv"))), 9)).filter(F.col("sim") >= threshold)
-    best = near.groupBy("qid").agg(F.max(F.struct("sim", (-F.col("entry")).alias("e"))).alias("b"))
-    return queries.select("qid").join(best, "qid", "left").select("qid", (-F.col("b.e")).alias("entry"), F.col("b.sim").alias("similarity"), F.col("b").isNotNull().alias("hit"))
+    asked = queries.select("qid", "vec", F.col("epoch").alias("at"), F.explode(F.array(slot(F.col("epoch")), slot(F.col("epoch")) - 1)).alias("slot"))
+    held = cache.select(F.col("entry").alias("id"), "vec", F.col("epoch").alias("at"), slot(F.col("epoch")).alias("slot"))
+    best = vector_top_k(asked, held, 1, dim=dim, group="slot", max_age=float(ttl_seconds)).filter(F.col("score") >= threshold)
+    return queries.select("qid").join(best, "qid", "left").select("qid", F.col("id").alias("entry"), F.col("score").alias("similarity"), F.col("id").isNotNull().alias("hit"))
 
 
 def compact_cache(accesses: DataFrame, capacity: int, key: str = "key", at: str = "at") -> DataFrame:

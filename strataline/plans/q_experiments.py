@@ -38,9 +38,12 @@ def _(t):
     return ex.map_experiments(raw(t), {"control_conversions": "Control_Success ", "control_total": "control_users", "treatment_conversions": "treatment_success", "treatment_total": "extra"})
 
 
-@query("p3_schema_report")
+@query("p3_schema_report", "SELECT false AS valid, (SELECT count(*) FROM studies_events) AS rows, 'experiment_id,control_visitors,control_conversions,variant_visitors,variant_conversions' AS missing, 'control_visitors=control_size' AS found")
 def _(t):
-    return ex.schema_report(raw(t).withColumnRenamed("control_users", "control_size"))
+    df = raw(t).withColumnRenamed("control_users", "control_size")
+    found = F.array_join(F.transform(F.map_entries("found_alternatives"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
+    report = ex.schema_report(df).select("valid", F.array_join("missing_columns", ",").alias("missing"), found.alias("found"))
+    return df.agg(F.count(F.lit(1)).alias("rows")).join(report, F.lit(True)).select("valid", "rows", "missing", "found")
 
 
 # Shifted counts, so that every validity rule drops some rows.

@@ -268,11 +268,14 @@ def _(t):
 _MV = lambda a: f"greatest(0.1, {a[0]}+CASE WHEN approach='{a[1]}' THEN 0.1*(m-3)/2+CASE WHEN selected_best THEN 0.05 ELSE 0 END ELSE 0 END)"
 
 
-@query("n40_learned_weights", f"""WITH RECURSIVE f AS (SELECT story, approach, selected_best, {AVG} AS m, row_number() OVER (PARTITION BY story ORDER BY seq) AS i FROM feedback),
+WEIGHTS = f"""WITH RECURSIVE f AS (SELECT story, approach, selected_best, {AVG} AS m, row_number() OVER (PARTITION BY story ORDER BY seq) AS i FROM feedback),
  s AS (SELECT story, 0::BIGINT AS i, 0.33::DOUBLE AS u, 0.33::DOUBLE AS g, 0.34::DOUBLE AS h FROM (SELECT DISTINCT story FROM feedback) UNION ALL
  SELECT story, i, x/(x+y+z), y/(x+y+z), z/(x+y+z) FROM (SELECT s.story, f.i, {_MV(('u', 'unified'))} AS x, {_MV(('g', 'graph'))} AS y, {_MV(('h', 'hybrid'))} AS z FROM s JOIN f ON f.story=s.story AND f.i=s.i+1))
 SELECT story, n, {sql6('w.u AS unified', 'w.g AS graph', 'w.h AS hybrid')}, CASE WHEN round(w.u,9)>=round(w.g,9) AND round(w.u,9)>=round(w.h,9) THEN 'unified' WHEN round(w.g,9)>=round(w.h,9) THEN 'graph' ELSE 'hybrid' END AS recommended
- FROM (SELECT story, max(i) AS n, arg_max({{'u': u, 'g': g, 'h': h}}, i) AS w FROM s GROUP BY 1)""")
+ FROM (SELECT story, max(i) AS n, arg_max({{'u': u, 'g': g, 'h': h}}, i) AS w FROM s GROUP BY 1)"""
+
+
+@query("n40_learned_weights", WEIGHTS)
 def _(t):
     return rounded(fb.learned_weights(t.feedback))
 

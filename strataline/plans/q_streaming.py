@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..streaming import jobs
 from . import stories
 from .q_meta import rounded, sql6
+from .q_narrative import WEIGHTS
 from .q_sources import scratch
 from .q_text import _redact_sql
 from .registry import query
@@ -29,7 +30,12 @@ def finished(t, df, name, mode="append"):
 STAMP = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("st1_admissions")
+_SEQ = "SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events"
+
+
+@query("st1_admissions", f"""WITH RECURSIVE e AS ({_SEQ}), s AS (SELECT user_id, event_id, i, true AS ok, [t] AS held FROM e WHERE i=1 UNION ALL
+ SELECT user_id, event_id, i, len(live)<3, CASE WHEN len(live)<3 THEN list_append(live, t) ELSE live END FROM (SELECT e.user_id, e.event_id, e.i, e.t, list_filter(s.held, lambda h: h>e.t-21600) AS live FROM s JOIN e ON e.user_id=s.user_id AND e.i=s.i+1))
+SELECT user_id AS key, event_id AS "row", ok AS admitted FROM s""")
 def _(t):
     return finished(t, jobs.admissions(events(t), "user_id", 3, 6 * 3600.0), "admissions")
 
@@ -61,7 +67,9 @@ def _(t):
     return finished(t, jobs.dedupe(twice, "hash", "40 days"), "dedupe").select("hash", "event_type")
 
 
-@query("st4_ttl_cache")
+@query("st4_ttl_cache", f"""WITH RECURSIVE e AS ({_SEQ}), s AS (SELECT user_id, event_id, i, false AS hit, t AS born FROM e WHERE i=1 UNION ALL
+ SELECT e.user_id, e.event_id, e.i, e.t-s.born<=3600, CASE WHEN e.t-s.born<=3600 THEN s.born ELSE e.t END FROM s JOIN e ON e.user_id=s.user_id AND e.i=s.i+1)
+SELECT user_id AS key, event_id AS "row", hit FROM s""")
 def _(t):
     return finished(t, jobs.ttl_cache(events(t), "user_id", 3600.0), "ttl")
 
@@ -74,7 +82,7 @@ def _(t):
     return rows.select(c("day").cast("string").alias("day"), "metric", "control_conversions", "treatment_conversions")
 
 
-@query("st6_online_weights")
+@query("st6_online_weights", f"SELECT story, n, unified, graph, hybrid FROM ({WEIGHTS})")
 def _(t):
     path = scratch(t, "weights")
     done = []
