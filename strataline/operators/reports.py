@@ -58,6 +58,7 @@ def influence_sizes(diag: DataFrame, by: list[str]) -> DataFrame:
     return diag.select(*by, "study_id", "leverage", "std_residual", size.alias("marker"), "is_influential")
 
 
+# Confidence words by p-value and consistency words by I2.
 CONFIDENCE = [(0.001, "Very High"), (0.01, "High"), (0.05, "Moderate"), (0.10, "Low"), (None, "Very Low")]
 SPREAD = [(25, "Low (experiments show consistent results)"), (50, "Moderate (some variation between experiments)"),
           (75, "Substantial (notable differences between experiments)"), (None, "High (experiments show very different results)")]
@@ -114,7 +115,7 @@ def recommendations(facts_: DataFrame, by: list[str]) -> DataFrame:
 
 
 def report_lines(facts_: DataFrame, recs: DataFrame, by: list[str]) -> DataFrame:
-    """The report as ordered lines (section, line, text), one set per group."""
+    """The report as ordered lines (section, line, text), one set per group. The wording is fixed."""
     z = z_quantile()
     c = F.col
     lo, hi = c("re_effect") - z * c("re_se"), c("re_effect") + z * c("re_se")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.text import words
+from ..functions.text import sentences, words
 from ..operators import retrieval as re_
 from ..operators.scale import settle
 from .q_meta import rounded, sql6
@@ -15,7 +15,7 @@ c = F.col
 WORDS = "list_filter(string_split_regex({0},'\\s+'), lambda x: x<>'')"
 lw = lambda s: WORDS.format(f"lower({s})")
 
-cte("query_set", f"SELECT item_id AS qid, array_to_string(list_slice({WORDS.format('text')},1,8),' ') AS query FROM benchmark")
+cte("query_set", f"SELECT item_id AS qid, array_to_string({WORDS.format('text')},' ') AS query FROM benchmark")
 cte("bm_tok", f"SELECT doc_id AS doc, {lw('text')} AS t FROM documents")
 cte("bm_post", "SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM bm_tok) GROUP BY 1,2,3")
 cte("bm_raw", "SELECT term, df, avgdl, n_docs, ln((n_docs-df+0.5)/(df+0.5)) AS raw FROM (SELECT term, count(*) AS df FROM bm_post GROUP BY 1), (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM (SELECT DISTINCT doc, dl FROM bm_post))")
@@ -32,7 +32,7 @@ cte("bm_ranked", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score D
 
 
 def query_set(t):
-    return t.benchmark.select(c("item_id").alias("qid"), F.array_join(F.slice(words(c("text")), 1, 8), " ").alias("query"))
+    return t.benchmark.select(c("item_id").alias("qid"), F.array_join(words(c("text")), " ").alias("query"))
 
 
 def index(t):
@@ -127,15 +127,21 @@ def _(t):
     return re_.question_weights(requests(t), "text").drop("text")
 
 
+SENT_ROWS = "SELECT conv_id, turn, role, unnest(p) AS q, unnest(range(0,len(p)))::INT AS sent FROM (SELECT conv_id, turn, role, list_filter(list_transform(regexp_split_to_array(text,'[.!?]+'), lambda x: regexp_replace(x,'^\\s+|\\s+$','','g')), lambda x: x<>'') AS p FROM conversations)"
+cte("questions", SENT_ROWS)
 cte("qtypes", f"""SELECT *, CASE query_type WHEN 'keyword' THEN 0.3::DOUBLE WHEN 'conceptual' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS semantic_weight, CASE query_type WHEN 'keyword' THEN 0.7::DOUBLE WHEN 'conceptual' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS lexical_weight FROM (
- SELECT conv_id, turn, CASE WHEN n<=3 THEN 'keyword' WHEN {hits_sql('q', lexicons.CONCEPT_INDICATORS)}>0 OR n>=8 THEN 'conceptual' ELSE 'mixed' END AS query_type FROM (
- SELECT conv_id, turn, q, len({WORDS.format('q')}) AS n FROM (SELECT conv_id, turn, array_to_string(list_slice({WORDS.format('text')},1,2+(conv_id+turn)%7),' ') AS q FROM conversations)))""")
+ SELECT conv_id, turn, sent, CASE WHEN n<=3 THEN 'keyword' WHEN {hits_sql('q', lexicons.CONCEPT_INDICATORS)}>0 OR n>=8 THEN 'conceptual' ELSE 'mixed' END AS query_type FROM (
+ SELECT conv_id, turn, sent, q, len({WORDS.format('q')}) AS n FROM questions))""")
+
+
+def questions(t):
+    """Every sentence of every turn is a question."""
+    return t.conversations.select("conv_id", "turn", "role", F.posexplode(sentences(c("text"))).alias("sent", "q"))
 
 
 @query("r8_question_type", "SELECT * FROM qtypes")
 def _(t):
-    q = t.conversations.select("conv_id", "turn", F.array_join(F.expr("slice(filter(split(text, r'\\s+'), w -> w <> ''), 1, cast(2 + (conv_id + turn) % 7 as int))"), " ").alias("q"))
-    return re_.question_type(q, "q").drop("q")
+    return re_.question_type(questions(t).drop("role"), "q").drop("q")
 
 
 RATED = "SELECT event_id, (['keyword','conceptual','mixed'])[user_id%3+1] AS kind, 1.0+CAST(floor(value) AS BIGINT)%5 AS rating, CASE WHEN user_id%3=1 AND event_id%4000<2000 THEN 0.4 ELSE (event_id%10)/10 END AS w FROM events"

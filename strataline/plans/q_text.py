@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons
 from ..operators import retrieval, textprep as tp
 from .q_meta import rounded, sql6
-from .q_retrieval import COS, WORDS, lw
+from .q_retrieval import COS, WORDS, lw, questions
 from .registry import cte, query
 
 c = F.col
@@ -72,22 +72,21 @@ def _(t):
     return tp.profile(t.documents.select("doc_id", "text"), digits=(6, 6, 6)).drop("text")
 
 
-@query("t6_difficulty", f"SELECT conv_id, turn, CASE WHEN len({WORDS.format('q')})<4 THEN 'Incomplete' WHEN role='user' THEN 'Complex' ELSE 'Standard' END AS difficulty FROM (SELECT conv_id, turn, role, array_to_string(list_slice({WORDS.format('text')},1,2+(conv_id+turn)%7),' ') AS q FROM conversations)")
+@query("t6_difficulty", f"SELECT conv_id, turn, sent, CASE WHEN len({WORDS.format('q')})<4 THEN 'Incomplete' WHEN role='user' THEN 'Complex' ELSE 'Standard' END AS difficulty FROM questions")
 def _(t):
-    q = F.array_join(F.expr("slice(filter(split(text, r'\\s+'), w -> w <> ''), 1, cast(2 + (conv_id + turn) % 7 as int))"), " ")
-    return t.conversations.select("conv_id", "turn", tp.difficulty(q, F.when(c("role") == "user", "cross_document").otherwise("single")).alias("difficulty"))
+    q = questions(t)
+    return q.select("conv_id", "turn", "sent", tp.difficulty(c("q"), F.when(c("role") == "user", "cross_document").otherwise("single")).alias("difficulty"))
 
 
 # Answers cite sources by number; each document answers with its own words.
-ANSWER = "array_to_string(list_slice(" + WORDS.format("text") + ",1,30),' ')||' ['||(doc_id%5+1)||']. See [Source '||(doc_id%7+1)||'] and ['||(doc_id%5+1)||']! '||substr(text,1,120)"
+ANSWER = "text||' ['||(doc_id%5+1)||']. See [Source '||(doc_id%7+1)||'] and ['||(doc_id%5+1)||']! '||text"
 cte("answers", f"SELECT doc_id AS answer_id, {ANSWER} AS text FROM documents")
 cte("cited_sources", "SELECT doc_id AS answer_id, r AS rank, source||'.txt' AS source_file, CASE WHEN doc_id%2=0 THEN (r*3)::VARCHAR END AS page, text AS content FROM documents, (SELECT unnest(range(1,6)) AS r)")
 
 
 def answers(t):
-    w = F.array_join(F.expr("slice(filter(split(text, r'\\s+'), w -> w <> ''), 1, 30)"), " ")
     n = lambda m: (c("doc_id") % m + 1).cast("string")
-    return t.documents.select(c("doc_id").alias("answer_id"), F.concat(w, F.lit(" ["), n(5), F.lit("]. See [Source "), n(7), F.lit("] and ["), n(5), F.lit("]! "), F.substring("text", 1, 120)).alias("text"))
+    return t.documents.select(c("doc_id").alias("answer_id"), F.concat("text", F.lit(" ["), n(5), F.lit("]. See [Source "), n(7), F.lit("] and ["), n(5), F.lit("]! "), "text").alias("text"))
 
 
 @query("t7_citations", r"""SELECT a.answer_id, CAST(a.rank AS INT) AS rank, source_file AS file, coalesce(page,'N/A') AS page, content[:200]||'...' AS snippet FROM (SELECT DISTINCT answer_id, unnest(regexp_extract_all(text,'\[(?:Source\s*)?(\d+)\]',1))::INT AS rank FROM answers) a JOIN cited_sources s USING (answer_id, rank)""")

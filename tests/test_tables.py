@@ -68,6 +68,14 @@ def test_recursive_chunks():
     assert at == len(whole)
 
 
+def test_table_function(spark):
+    from strataline.functions.tables import register
+
+    register(spark)
+    rows = spark.sql("SELECT c.* FROM (SELECT repeat('word and more. ', 20) AS t) d, LATERAL recursive_chunks(d.t, 100, 20) c ORDER BY 1").collect()
+    assert len(rows) > 2 and all(len(r.text) <= 100 for r in rows)
+
+
 def test_redaction(spark):
     key = "sk-" + "a1" * 16
     text, n = textprep.redact(F.col("t"))
