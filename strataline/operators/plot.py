@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
@@ -176,8 +176,12 @@ def unmet_pairs(nodes: DataFrame, edges: DataFrame, chapter: int, limit: int) ->
     pair = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
     pair = settle(pair.join(chars.select(F.col("id").alias("a")), "a", "left_semi").join(chars.select(F.col("id").alias("b")), "b", "left_semi"))
     known = pair.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("known"))
-    lack = chars.join(known, "id", "left").join(F.broadcast(n), F.lit(True)).filter(F.col("n") - F.col("rn") - F.coalesce("known", F.lit(0)) > 0)
-    lead = lack.orderBy("id").limit(limit).select(F.col("id").alias("a"))  # at most ``limit`` rows
+    open_ = F.col("n") - F.col("rn") - F.coalesce("known", F.lit(0))
+    lack = chars.join(known, "id", "left").join(F.broadcast(n), F.lit(True)).withColumn("lack", open_).filter("lack > 0")
+    # At most ``limit`` rows; of these only the first few are needed to supply that many pairs.
+    first = lack.orderBy("id").limit(limit)
+    upto = F.sum("lack").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    lead = first.withColumn("_before", F.coalesce(upto, F.lit(0))).filter(F.col("_before") < limit).select(F.col("id").alias("a"))
     return chars.select(F.col("id").alias("b")).join(F.broadcast(lead), F.col("a") < F.col("b")).join(pair, ["a", "b"], "left_anti").orderBy("a", "b").limit(limit)
 
 
