@@ -69,3 +69,38 @@ def op3_mixing(spark, sf_dir):
 
     out = mix_plan(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+@query("op4_token_shards")
+def op4_token_shards(spark, sf_dir):
+    import public_tokenizers
+
+    from .wavelet import token_shards
+
+    return token_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_packing")
+def op10_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    from .quality import quality_rules
+
+    out = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
