@@ -130,8 +130,11 @@ def score_counts(scored: DataFrame, labels: DataFrame) -> dict[tuple[int, str, i
     """Good labelled texts per (stratum, rule, number of cutoffs reached): at most strata x rules x cutoffs rows reach the driver."""
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).filter(F.col("q") == 1)
     rows = scored.filter(~base_failed()).join(good.select(F.col("doc_id").alias("_good")), F.col("doc_id") == F.col("_good"))
-    reached = F.array(*[F.struct(F.lit(rule).alias("rule"), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c, s=score: c <= F.expr(s))).alias("k"))
-                        for rule, (score, cuts) in RULES.items()])
+
+    def n_reached(score: str, cuts: list[float]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.expr(score)))
+
+    reached = F.array(*[F.struct(F.lit(rule).alias("rule"), n_reached(score, cuts).alias("k")) for rule, (score, cuts) in RULES.items()])
     found = rows.select(_band().alias("band"), F.explode(reached).alias("x")).groupBy("band", "x.rule", "x.k").count()
     return {(r["band"], r["rule"], r["k"]): r["count"] for r in found.collect()}
 
