@@ -104,3 +104,10 @@ def op7_quality_rules(spark, sf_dir):
 
     out = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    from .langid import language_rows
+
+    return language_rows(documents(spark, sf_dir))
