@@ -143,3 +143,17 @@ def op8_near_dedup(spark, sf_dir):
     from .setsketch import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir))
+
+
+def _license_oracle() -> str:
+    from .licenses import oracle
+
+    return oracle()
+
+
+@query("op5_license_scan", _license_oracle())
+def op5_license_scan(spark, sf_dir):
+    from .licenses import license_scan
+
+    out = license_scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "licenses", "sentence_ids", "line_sentence_ids")
