@@ -188,20 +188,10 @@ class Judge:
         return langs, scores.tolist(), [ok and s >= self.model.floor for ok, s in zip(known, scores.tolist())]
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The columns of ``docs`` plus lang_pred, score and accepted (columns of those names are replaced).
-
-    The model is learned from ``docs`` (see :func:`fit`); a prediction reads the
-    text alone. ``lang_pred`` is a learned language; a text that is null or has
-    no letter is ``und`` with score 0 and not accepted, and so is every text if
-    no labelled text was there to learn from. ``accepted`` is whether the score
-    reaches the calibrated floor. Rows that repeat a doc_id are judged each for
-    itself; rows without one are judged and never learned from. An empty table
-    gives an empty table.
-    """
+def _judged(docs: DataFrame, sample: int) -> DataFrame:
+    """``docs`` plus ``_lid``, a struct of lang_pred, score and accepted."""
     model = fit(docs, sample)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.sharpness, model.floor))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -214,8 +204,27 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     into.extend(part)
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "accepted"), found)))
 
-    out = docs.select(*[F.col(c) for c in kept], predict("text").alias("_lid"))
-    return out.select(*kept, "_lid.lang_pred", "_lid.score", "_lid.accepted")
+    return docs.withColumn("_lid", predict("text"))
+
+
+def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The columns of ``docs`` plus lang_pred, score and accepted (columns of those names are replaced).
+
+    The model is learned from ``docs`` (see :func:`fit`); a prediction reads the
+    text alone. ``lang_pred`` is a learned language; a text that is null or has
+    no letter is ``und`` with score 0 and not accepted, and so is every text if
+    no labelled text was there to learn from. ``accepted`` is whether the score
+    reaches the calibrated floor. Rows that repeat a doc_id are judged each for
+    itself; rows without one are judged and never learned from. An empty table
+    gives an empty table.
+    """
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
+    return _judged(docs, sample).select(*kept, "_lid.lang_pred", "_lid.score", "_lid.accepted")
+
+
+def accepted_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that :func:`identify` accepts, columns unchanged."""
+    return _judged(docs, sample).filter("_lid.accepted").select(*docs.columns)
 
 
 def language_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -38,6 +38,18 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     return lost.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
 
 
+def _thinned(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``docs`` plus ``_ld_text``, ``_ld_lines`` and ``_ld_dropped``."""
+    gone = dropped_positions(docs, min_chars, min_docs)
+    joined = docs.join(gone.select(F.col("doc").alias("_ld_doc"), F.col("gone").alias("_ld_gone")), F.col("doc_id") == F.col("_ld_doc"), "left")
+    lines = _lines(F.col("text"))
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    text = F.when(F.col("_ld_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+        F.array_join(F.transform(F.array_except(places, F.col("_ld_gone")), lambda i: F.get(lines, i)), "\n"))
+    dropped = F.coalesce(F.size(F.array_intersect(places, F.col("_ld_gone"))), F.lit(0))
+    return joined.withColumns({"_ld_text": text, "_ld_lines": F.size(lines).cast("long"), "_ld_dropped": dropped.cast("long")})
+
+
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Drop lines found in many documents; the largest doc_id that holds a line keeps all its copies.
 
@@ -53,17 +65,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     as one document and lose the union of their positions, which are the same
     for true repeats. An empty table gives an empty table.
     """
-    gone = dropped_positions(docs, min_chars, min_docs)
-    joined = docs.drop("n_lines", "n_dropped").join(
-        gone.select(F.col("doc").alias("_ld_doc"), F.col("gone").alias("_ld_gone")), F.col("doc_id") == F.col("_ld_doc"), "left")
-    lines = _lines(F.col("text"))
-    size = F.size(lines)
-    places = F.array_except(F.sequence(F.lit(0), size - 1), F.col("_ld_gone"))
-    text = F.when(F.col("_ld_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.withColumns({
-        "_ld_text": text,
-        "n_lines": size.cast("long"),
-        "n_dropped": F.coalesce(F.size(F.array_intersect(F.sequence(F.lit(0), size - 1), F.col("_ld_gone"))), F.lit(0)).cast("long"),
-    }).select(*[F.col("_ld_text").alias("text") if c == "text" else F.col(c) for c in kept], "n_lines", "n_dropped")
+    kept = [F.col("_ld_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _thinned(docs, min_chars, min_docs).select(*kept, F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"))
+
+
+def without_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with the texts that :func:`line_dedup` leaves, columns unchanged."""
+    return _thinned(docs, min_chars, min_docs).select(*[F.col("_ld_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
