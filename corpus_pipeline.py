@@ -1,20 +1,34 @@
-"""From raw documents to packed training sequences, one dealt operator per stage."""
+"""From raw documents to packed training sequences, one operator of the training-data subpackage per stage."""
 
 from __future__ import annotations
 
 import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm.line_dedup import line_dedup
+from strataline.llm.langid import accepted_documents
+from strataline.llm.line_dedup import without_shared_lines
 from strataline.llm.mixing import mix
+from strataline.llm.packing import pack
+from strataline.llm.setsketch import near_dedup
 from strataline.session import shared_folder
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the identifier names with enough confidence."""
+    return accepted_documents(docs)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
-    return line_dedup(docs).select(*docs.columns)
+    return without_shared_lines(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +36,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("line dedup", dedup_lines), ("mixing", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences; a document that the mix repeats is packed as often."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("line dedup", dedup_lines),
+    ("near dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Language models, sketches and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
