@@ -95,8 +95,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("all rights reserved", ["reserved"]),
 ]
 
-#: Ends a sentence when white space follows; ``CUT`` marks the places.
-END, CUT = r"([.!?;])[\x09-\x0D\x20]+", "\x01"
+#: A sentence ends at these marks when white space follows, and at a blank line; ``CUT`` marks the places.
+END, CUT = r"([.!?;])[\x09-\x0D\x20]+|\n[\x09-\x0D\x20]*\n", "\x01"
 
 
 def normal(sentence: str) -> str:
@@ -157,7 +157,7 @@ def oracle() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     known = ", ".join(f"({quoted(k)}, {quoted(n)})" for k, n in KEYS.items())
-    end = r"([.!?;])[\x09-\x0D\x20]+"
+    end = END
     steps, rest = [], "ids"
     for name, run in RULES:
         pattern = quoted("".join(f"<{i}>" for i in run))
