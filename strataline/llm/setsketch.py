@@ -219,8 +219,10 @@ def _bucket_groups(classes: DataFrame) -> DataFrame:
     bands = classes.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     buckets = bands.select("rep", F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * BAND} + 1, {2 * BAND})")).alias("bucket"))
     shared = settle(buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter(F.col("first") != F.col("last")).drop("last"))
-    stars = buckets.join(shared, "bucket").filter(F.col("rep") != F.col("first"))
-    return components(stars.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
+    stars = buckets.join(shared, "bucket").filter(F.col("rep") != F.col("first")).groupBy("rep").agg(F.collect_set("first").alias("firsts"), F.min("first").alias("b"))
+    # A class and the heads of its (at most BANDS) bands all go under the least of them; copies share heads, so few edges are left.
+    edges = stars.select(F.explode(F.concat("firsts", F.array("rep"))).alias("a"), "b").filter(F.col("a") != F.col("b"))
+    return components(edges.distinct())
 
 
 def _blocks(docs: DataFrame, members: DataFrame) -> DataFrame:
