@@ -1,20 +1,22 @@
 """Distribution functions as Columns, with the same formulas as SQL text.
 
 Normal tail: Hart's rational form (plain arithmetic, stays in generated code).
-Student t and chi-square with whole degrees of freedom: finite sums up to
-``EXACT_DF`` degrees, asymptotic forms above it, so that the cost per row does
-not grow with the number of studies.
+Student t and chi-square: incomplete beta and gamma functions, one formula for
+all degrees of freedom, worked out for whole Arrow batches of group results at
+once. The SQL twins use finite sums instead.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-EXACT_DF = 200
+from pyspark.sql import types as T
 
 # Hart's numerator and denominator coefficients, highest power first.
 HART_NUM = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
@@ -67,89 +69,131 @@ def z_quantile(confidence: float = 0.95) -> float:
     return NormalDist().inv_cdf(0.5 + confidence / 2)
 
 
-def _hill_z(t, df, ln, sqrt):
-    """Normal deviate with the same tail as t, for many degrees of freedom."""
-    a = df - 0.5
-    b = 48 * a * a
-    y = a * ln(1 + t * t / df)
-    return (((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b + 1.0) * sqrt(y)
+def _until_stable(step, start: np.ndarray) -> np.ndarray:
+    """Modified Lentz steps until no value changes; steps grow with the root of the degrees of freedom, values with the groups."""
+    f, k = start, 0
+    while True:
+        k += 1
+        f, change = step(f, k)
+        if not (np.abs(change - 1) > 2e-15).any() or k > 10_000_000:
+            return f
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    tiny = 1e-300
+    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / guard(1 - (a + b) * x / (a + 1))
+    state = [c, d]
+
+    def step(f, m):
+        change = np.ones_like(f)
+        for u in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            state[1] = 1 / guard(1 + u * state[1])
+            state[0] = guard(1 + u / state[0])
+            change = change * state[0] * state[1]
+        return f * change, change
+
+    return _until_stable(step, d)
+
+
+def _lgamma(a: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in a.tolist()])
+
+
+def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided Student t p-value by the incomplete beta function, one formula for all degrees of freedom >= 1; else NaN."""
+    out = np.full(len(t), np.nan)
+    ok = np.isfinite(t) & (df >= 1)
+    t, n = np.abs(t[ok]), df[ok]
+    a, half = n / 2, np.full(len(n), 0.5)
+    # The ratio of gamma functions half a step apart, without cancellation for large a.
+    ratio = np.where(a < 50, _lgamma(np.minimum(a, 50) + 0.5) - _lgamma(np.minimum(a, 50)), 0.5 * np.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)) if len(a) else a
+    x, y = n / (n + t * t), t * t / (n + t * t)
+    with np.errstate(divide="ignore"):
+        front = np.exp(-a * np.log1p(t * t / n) + 0.5 * np.log(y) + ratio - 0.5 * math.log(math.pi))
+    tail = x < (a + 1) / (a + 2.5)
+    p = np.empty(len(n))
+    p[tail] = front[tail] * _beta_fraction(a[tail], half[tail], x[tail]) / a[tail]
+    p[~tail] = 1 - front[~tail] * _beta_fraction(half[~tail], a[~tail], y[~tail]) * 2
+    out[ok] = np.clip(p, 0, 1)
+    return out
+
+
+def chi_square_q(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(X > x) by the incomplete gamma function, one formula for all degrees of freedom >= 1; else NaN."""
+    out = np.full(len(x), np.nan)
+    ok = ~np.isnan(x) & (df >= 1)
+    z, a = np.maximum(x[ok], 0.0) / 2, df[ok] / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        small = a * np.log(z) - z - _lgamma(a) if len(a) else a
+        large = -a * ((z - a) / a - np.log1p((z - a) / a)) + 0.5 * np.log(a / (2 * math.pi)) - 1 / (12 * a) + 1 / (360 * a**3)
+    front = np.exp(np.where(a < 50, small, large))
+    q, low, far = np.ones(len(z)), (z > 0) & (z < a + 1), (z >= a + 1) & np.isfinite(z)
+    term = [1 / a[low]]
+
+    def series(f, k):
+        term[0] = term[0] * z[low] / (a[low] + k)
+        return f + term[0], 1 + term[0] / f
+
+    q[low] = 1 - front[low] * _until_stable(series, term[0])
+    zz, aa, tiny = z[far], a[far], 1e-300
+    b0 = zz + 1 - aa
+    state = [np.full(len(zz), 1 / tiny), 1 / b0]
+
+    def fraction(f, k):
+        u, b = -k * (k - aa), b0 + 2 * k
+        state[1] = 1 / np.where(np.abs(u * state[1] + b) < tiny, tiny, u * state[1] + b)
+        state[0] = np.where(np.abs(b + u / state[0]) < tiny, tiny, b + u / state[0])
+        return f * state[0] * state[1], state[0] * state[1]
+
+    q[far] = front[far] * _until_stable(fraction, state[1])
+    q[np.isinf(z)] = 0.0
+    out[ok] = np.clip(q, 0, 1)
+    return out
+
+
+def student_quantile(df: np.ndarray, confidence: float) -> np.ndarray:
+    """The t that two-sided probability 1 - confidence lies beyond, by bisection on :func:`student_p`."""
+    kinds, back = np.unique(df, return_inverse=True)
+    low, high = np.zeros(len(kinds)), np.full(len(kinds), 1e6)
+    for _ in range(110):
+        mid = np.where(high > 4 * low + 1, np.sqrt((low + 1e-3) * high), (low + high) / 2)
+        beyond = student_p(mid, kinds) > 1 - confidence
+        low, high = np.where(beyond, mid, low), np.where(beyond, high, mid)
+    return np.where(kinds >= 1, (low + high) / 2, np.nan)[back]
+
+
+def _floats(*series: pd.Series) -> list[np.ndarray]:
+    return [s.to_numpy(dtype=float, na_value=np.nan) for s in series]
+
+
+def _filled(values: np.ndarray) -> pd.Series:
+    return pd.Series(values).astype(object).where(~np.isnan(values), None)
 
 
 def t_p(t: Column, df: Column) -> Column:
-    """Two-sided Student t p-value for whole df >= 1."""
-    t = F.abs(t)
-    small = F.least(df, F.lit(EXACT_DF)).cast("int")
-    theta = F.atan(t / F.sqrt(small.cast("double")))
-    c2 = F.pow(F.cos(theta), 2)
-    # even: sin * (1 + 1/2 c^2 + 1*3/(2*4) c^4 ..); odd: cos-sum with factors 2/3, 4/5 ..
-    terms = F.floor((small - F.when(small % 2 == 0, 2).otherwise(3)) / 2).cast("int")
-    steps = F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
-    even = F.aggregate(
-        steps, F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("p")),
-        lambda a, k: F.struct((a.s + a.p * c2 * (2 * k - 1) / (2 * k)).alias("s"),
-                              (a.p * c2 * (2 * k - 1) / (2 * k)).alias("p")), lambda a: a.s)
-    odd = F.aggregate(
-        steps, F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("p")),
-        lambda a, k: F.struct((a.s + a.p * c2 * (2 * k) / (2 * k + 1)).alias("s"),
-                              (a.p * c2 * (2 * k) / (2 * k + 1)).alias("p")), lambda a: a.s)
-    inside = (
-        F.when(small == 1, 2 * theta / math.pi)
-        .when(small % 2 == 1, 2 / math.pi * (theta + F.sin(theta) * F.cos(theta) * odd))
-        .otherwise(F.sin(theta) * even)
-    )
-    large = norm_p(_hill_z(t, df.cast("double"), F.log, F.sqrt))
-    return F.when(df < 1, F.lit(None).cast("double")).when(df <= EXACT_DF, F.greatest(F.lit(0.0), 1 - inside)).otherwise(large)
+    """Two-sided Student t p-value; null below one degree of freedom."""
+    return F.pandas_udf(lambda t, n: _filled(student_p(*_floats(t, n))), T.DoubleType())(t.cast("double"), df.cast("double"))
 
 
 def t_p_sql(t: str, df: str) -> str:
-    """Needs ``t`` and ``df`` to be plain column names."""
+    """Finite sums over the degrees of freedom; needs ``t`` and ``df`` to be plain column names."""
     th = f"atan(abs({t})/sqrt({df}::DOUBLE))"
     c2 = f"pow(cos({th}),2)"
     even = f"(1+coalesce(list_sum(list_transform(range(1,(({df}-2)//2+1)::BIGINT), lambda k: exp(lgamma(k+0.5)-lgamma(k+1.0)-0.5723649429247001)*pow({c2},k))),0))"
     odd = f"(1+coalesce(list_sum(list_transform(range(1,(({df}-3)//2+1)::BIGINT), lambda k: exp(lgamma(k+1.0)-lgamma(k+1.5)-0.1207822376352452)*pow({c2},k))),0))"
-    z = f"sqrt(({df}-0.5)*ln(1+{t}*{t}/{df}))"
-    y = f"(({df}-0.5)*ln(1+{t}*{t}/{df}))"
-    b = f"(48*({df}-0.5)*({df}-0.5))"
-    hz = f"(((((-0.4*{y}-3.3)*{y}-24.0)*{y}-85.5)/(0.8*{y}*{y}+100.0+{b})+{y}+3.0)/{b}+1.0)*{z}"
     return (f"(CASE WHEN {df} < 1 THEN NULL WHEN {df} = 1 THEN 1-2*{th}/pi() "
-            f"WHEN {df} > {EXACT_DF} THEN {norm_p_sql('(' + hz + ')')} "
             f"WHEN {df} % 2 = 1 THEN greatest(0.0, 1-2/pi()*({th}+sin({th})*cos({th})*{odd})) "
             f"ELSE greatest(0.0, 1-sin({th})*{even}) END)")
 
 
 def chi2_sf(x: Column, df: Column) -> Column:
-    """P(X > x) for a chi-square with whole df >= 1."""
-    x = F.greatest(x, F.lit(0.0))
-    small = F.least(df, F.lit(EXACT_DF)).cast("int")
-    n_even = (small / 2 - 1).cast("int")
-    n_odd = ((small - 1) / 2).cast("int")
-    none = F.array().cast("array<int>")
-    even = F.aggregate(
-        F.when(n_even >= 1, F.sequence(F.lit(1), n_even)).otherwise(none),
-        F.struct(F.exp(-x / 2).alias("s"), F.exp(-x / 2).alias("p")),
-        lambda a, k: F.struct((a.s + a.p * x / 2 / k).alias("s"), (a.p * x / 2 / k).alias("p")), lambda a: a.s)
-    first = F.sqrt(2 * x / math.pi) * F.exp(-x / 2)
-    odd = F.aggregate(
-        F.when(n_odd >= 2, F.sequence(F.lit(2), n_odd)).otherwise(none),
-        F.struct(first.alias("s"), first.alias("p")),
-        lambda a, k: F.struct((a.s + a.p * x / (2 * k - 1)).alias("s"), (a.p * x / (2 * k - 1)).alias("p")), lambda a: a.s)
-    exact = F.when(small % 2 == 0, even).when(small == 1, norm_p(F.sqrt(x))).otherwise(norm_p(F.sqrt(x)) + odd)
-    # Uniform expansion for many degrees of freedom.
-    a = df.cast("double") / 2
-    lam = F.greatest(x / 2 / a, F.lit(1e-300))
-    eta = F.signum(lam - 1) * F.sqrt(F.greatest(2 * (lam - 1 - F.log(lam)), F.lit(0.0)))
-    near = F.abs(lam - 1) < 0.01
-    c0 = F.when(near, -1 / 3 + eta / 12 - F.lit(2 / 135) * eta * eta).otherwise(1 / (lam - 1) - 1 / eta)
-    c1 = F.when(near, F.lit(-1 / 540) - eta / 288).otherwise(
-        1 / F.pow(eta, 3) - 1 / F.pow(lam - 1, 3) - 1 / F.pow(lam - 1, 2) - 1 / (12 * (lam - 1)))
-    deviate = eta * F.sqrt(a)
-    upper = F.when(deviate >= 0, norm_tail(deviate)).otherwise(1 - norm_tail(deviate))
-    wide = upper + F.exp(-a * eta * eta / 2) / F.sqrt(2 * math.pi * a) * (c0 + c1 / a)
-    return F.when(df < 1, F.lit(None).cast("double")).when(df <= EXACT_DF, F.least(exact, F.lit(1.0))).otherwise(wide)
+    """P(X > x) for a chi-square; null below one degree of freedom."""
+    return F.pandas_udf(lambda x, n: _filled(chi_square_q(*_floats(x, n))), T.DoubleType())(x.cast("double"), df.cast("double"))
 
 
 def chi2_sf_sql(x: str, df: str) -> str:
-    """Finite-sum form only; enough for the sizes the checks run at."""
+    """Finite sums over the degrees of freedom."""
     gx = f"greatest({x},0.0)"
     even = (f"list_sum(list_transform(range(0,({df}//2)::BIGINT), lambda k: "
             f"CASE WHEN k=0 THEN exp(-{gx}/2) WHEN {gx}<=0 THEN 0 ELSE exp(-{gx}/2+k*ln(greatest({gx},1e-300)/2)-lgamma(k+1.0)) END))")
@@ -159,58 +203,24 @@ def chi2_sf_sql(x: str, df: str) -> str:
             f"ELSE least({norm_p_sql(f'sqrt({gx})')}+{odd},1.0) END)")
 
 
-def _t_sf_exact(t: float, df: int) -> float:
-    th = math.atan(abs(t) / math.sqrt(df))
-    c2 = math.cos(th) ** 2
-    if df == 1:
-        return 1 - 2 * th / math.pi
-    s = p = 1.0
-    if df % 2:
-        for k in range(1, (df - 3) // 2 + 1):
-            p *= c2 * 2 * k / (2 * k + 1)
-            s += p
-        return 1 - 2 / math.pi * (th + math.sin(th) * math.cos(th) * s)
-    for k in range(1, (df - 2) // 2 + 1):
-        p *= c2 * (2 * k - 1) / (2 * k)
-        s += p
-    return 1 - math.sin(th) * s
-
-
-def t_quantile_table(confidence: float = 0.95) -> list[float]:
-    """Two-sided quantiles for df 1..EXACT_DF by bisection on the finite sums."""
-    out = []
-    for df in range(1, EXACT_DF + 1):
-        lo, hi = 0.0, 2000.0
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _t_sf_exact(mid, df) > 1 - confidence else (lo, mid)
-        out.append((lo + hi) / 2)
-    return out
+def t_quantile(df: Column, confidence: float = 0.95) -> Column:
+    """Two-sided t quantile; null below one degree of freedom."""
+    return F.pandas_udf(lambda n: _filled(student_quantile(*_floats(n), confidence)), T.DoubleType())(df.cast("double"))
 
 
-_TABLES: dict[float, list[float]] = {}
+#: Degrees of freedom up to which the check SQL reads a table; beyond, five terms of the expansion are exact to double precision.
+SQL_TABLE = 400
 
 
+@cache
 def _table(confidence: float) -> list[float]:
-    if confidence not in _TABLES:
-        _TABLES[confidence] = t_quantile_table(confidence)
-    return _TABLES[confidence]
-
-
-def _cornish(z: float, df):
-    return (z + (z**3 + z) / (df * 4.0) + (5 * z**5 + 16 * z**3 + 3 * z) / (df * df * 96.0)
-            + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (df * df * df * 384.0))
-
-
-def t_quantile(df: Column, confidence: float = 0.95) -> Column:
-    table = F.expr("array(" + ",".join(f"{v!r}D" for v in _table(confidence)) + ")")
-    small = F.element_at(table, F.greatest(F.least(df, F.lit(EXACT_DF)), F.lit(1)).cast("int"))
-    large = _cornish(z_quantile(confidence), df.cast("double"))
-    return F.when(df < 1, F.lit(None).cast("double")).when(df <= EXACT_DF, small).otherwise(large)
+    return student_quantile(np.arange(1.0, SQL_TABLE + 1), confidence).tolist()
 
 
 def t_quantile_sql(df: str, confidence: float = 0.95) -> str:
     table = "[" + ",".join(repr(v) + "::DOUBLE" for v in _table(confidence)) + "]"
     z = z_quantile(confidence)
-    large = f"({z!r} + {(z**3 + z)!r}/({df}*4.0) + {(5*z**5 + 16*z**3 + 3*z)!r}/({df}*{df}*96.0))"
-    return f"(CASE WHEN {df} < 1 THEN NULL WHEN {df} <= {EXACT_DF} THEN ({table})[{df}] ELSE {large} END)"
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+             (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    large = f"({z!r}" + "".join(f" + {v!r}/pow({df},{k})" for k, v in enumerate(terms, 1)) + ")"
+    return f"(CASE WHEN {df} < 1 THEN NULL WHEN {df} <= {SQL_TABLE} THEN ({table})[{df}] ELSE {large} END)"

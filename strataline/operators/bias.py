@@ -69,11 +69,15 @@ def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def beggs_test(studies: DataFrame, by: list[str], min_studies: int = 5, alpha: float = 0.05) -> DataFrame:
-    """Rank correlation of standardised residuals and variances (normal p-value)."""
+    """Rank correlation of standardised residuals and variances (normal p-value).
+
+    Both are rounded to twelve digits before they are ranked, so that equal
+    values tie whatever the order of summation was.
+    """
     w = 1 / (F.col("se") * F.col("se"))
     mean = studies.groupBy(*by).agg((F.sum(w * F.col("effect")) / F.sum(w)).alias("_m"), F.count(F.lit(1)).alias("_k"))
     rows = studies.join(mean.filter(F.col("_k") >= min_studies), by).select(
-        *by, ((F.col("effect") - F.col("_m")) / F.col("se")).alias("resid"), (F.col("se") * F.col("se")).alias("var"))
+        *by, F.round((F.col("effect") - F.col("_m")) / F.col("se"), 12).alias("resid"), F.round(F.col("se") * F.col("se"), 12).alias("var"))
     out = rank_correlation(rows, by, "resid", "var")
     n = F.col("n")
     z = F.col("tau") / F.sqrt(2 * (2 * n + 5) / (9.0 * n * (n - 1)))

@@ -53,14 +53,17 @@ def _pairs(t: Column) -> Column:
     return F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def lexical(df: DataFrame, context: str = "context", first: int = 100) -> DataFrame:
-    """Unigram, bigram and subsequence overlap with context and the last three segments; adds overlap, rouge_l, lexical."""
+def lexical(df: DataFrame, context: str = "context", first: int | None = None) -> DataFrame:
+    """Unigram, bigram and subsequence overlap with context and the last three segments; adds overlap, rouge_l, lexical.
+
+    The subsequence is that of the whole texts, or of their first so many tokens.
+    """
     ref = F.concat_ws(" ", F.col(context), F.array_join("prev", " "))
     d = df.withColumns({"_g": tokens(F.col("text")), "_r": tokens(ref)})
     empty = (F.size("_g") == 0) | (F.size("_r") == 0)
     bi = F.when(F.size("_g") > 1, _share(_pairs(F.col("_g")), _pairs(F.col("_r")))).otherwise(0.0)
     d = d.withColumns({"overlap": F.when(empty, F.lit(None).cast("double")).otherwise(_share(F.col("_g"), F.col("_r")) * 0.3 + bi * 0.3),
-                       "rouge_l": rouge_l(F.slice("_g", 1, first), F.slice("_r", 1, first))})
+                       "rouge_l": rouge_l(F.col("_g"), F.col("_r")) if first is None else rouge_l(F.slice("_g", 1, first), F.slice("_r", 1, first))})
     return d.withColumn("lexical", F.coalesce(F.col("overlap") + F.col("rouge_l") * 0.4, F.lit(0.5))).drop("_g", "_r")
 
 

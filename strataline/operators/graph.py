@@ -205,9 +205,13 @@ def causal_chains(events: DataFrame, edges: DataFrame, depth: int = 5) -> DataFr
     return out.select(F.col("path")[0].alias("event"), F.element_at("path", -1).alias("root_cause"), (F.size("path") - 1).alias("depth"), F.array_join(F.reverse("path"), " led to ").alias("narrative"))
 
 
-def plot_complications(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Triangles (high), characters joined only through others (medium), events without consequence (low)."""
-    top = conflict_triangles(nodes, edges).orderBy("members").limit(3).select(
+def plot_complications(nodes: DataFrame, edges: DataFrame, tensions: int | None = None) -> DataFrame:
+    """Triangles (high), characters joined only through others (medium), events without consequence (low).
+
+    ``tensions`` keeps the first so many triangles by their members; by default all.
+    """
+    found = conflict_triangles(nodes, edges)
+    top = (found if tensions is None else found.orderBy("members").limit(tensions)).select(
         F.lit("character_tension").alias("kind"), F.lit("high").alias("priority"), F.col("a").alias("first"), F.col("c").alias("second"))
     link = settle(edges.select("src", "dst").distinct().filter("src <> dst"))
     chars = nodes.filter("type = 'CHARACTER'").select("id")

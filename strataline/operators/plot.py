@@ -74,7 +74,7 @@ def plot_points(segments: DataFrame, names: list[str]) -> DataFrame:
     body = F.substring("sentence", 1, 200)
     return s.select(*K, "seq", "event_type", F.when(F.length(title) > 50, F.concat(F.substring(title, 1, 47), F.lit("..."))).otherwise(title).alias("title"), body.alias("description"),
                     F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower("sentence"), F.lower(n))).alias("involved"),
-                    F.filter(F.array(*[F.lit(w) for w in lexicons.CAUSAL_WORDS]), lambda w: F.contains(F.lower(F.substring(F.col("sentence"), 1, 200)), w)).alias("causal"))
+                    F.filter(F.array(*[F.lit(w) for w in lexicons.CAUSAL_WORDS]), lambda w: F.contains(F.lower(F.col("sentence")), w)).alias("causal"))
 
 
 def causal_links(points: DataFrame) -> DataFrame:

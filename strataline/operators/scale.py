@@ -1,57 +1,51 @@
 """Ordered work inside groups that may be very large.
 
 A plain ``Window.partitionBy(key)`` puts a whole group into one task. The
-helpers here cut each large group into slices along its order, work inside the
-slices, and combine slice totals, so one hot key never lands in one task. The
-cut points come from a hash sample that depends on the rows alone, so a lost
-executor recomputes the same slices.
+helpers here deal rows to ranges of (group, order), work inside these slices,
+and combine slice totals, so one hot key never lands in one task. Slices are
+written tables, so a lost executor reads the same ones again.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
-SLICE_ROWS = 200_000
-CUTS = 512
+from ..session import intermediate
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write an intermediate result that several later steps read, and read it back.
 
     A parquet table in the shared folder outlives executors, is read column by
-    column, and gives the planner its true size for join choices.
+    column, and gives the planner its true size for join choices. With ``by``,
+    readers that filter on that column read its wanted partitions only; it must
+    have few values.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "tables", uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = intermediate(spark, "tables")
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``_slice``: rows dealt to ranges of (keys, order), written once and read by all later steps.
+
+    A large group spans as many ranges as its size asks for, a range holds many
+    small groups, and rows equal in keys and order are in one range. So no task
+    grows with a group, and slice numbers rise with the order inside each group.
+    """
+    dealt = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+    return settle(dealt.withColumn("_slice", F.spark_partition_id()))
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``_slice``: ordered ranges of ``order`` inside each group (0 for small groups).
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add inclusive running sums of ``sums`` in ``order``; ``order`` must be unique in a group.
 
-    One row in ``slice_rows`` becomes a cut point, chosen by hash; at most
-    ``CUTS`` evenly spaced ones are kept per group.
+    The input is evaluated once: sums inside slices, plus the totals of the
+    slices before, of which a group has one row per slice.
     """
-    place = F.struct(*[F.col(c) for c in order])
-    picked = df.filter(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(slice_rows)) == 0)
-    cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(place)).alias("_pts")).select(
-        *keys, F.filter("_pts", lambda c, i: i % F.ceil(F.size("_pts") / CUTS) == 0).alias("_cuts"))
-    low = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
-    return df.join(cuts, keys, "left").withColumn(
-        "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(low)).drop("_cuts")
-
-
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
-            slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add inclusive running sums of ``sums`` in ``order``; ``order`` must be unique in a group."""
-    base = sliced(df.withColumns({f"_v_{n}": c for n, c in sums.items()}), keys, order, slice_rows)
+    base = sliced(df.withColumns({f"_v_{n}": c for n, c in sums.items()}), keys, order)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = base.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
@@ -62,10 +56,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     return out.drop("_slice", *[f"_{p}_{n}" for p in "vro" for n in sums])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
-             slice_rows: int = SLICE_ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
     """Number rows 1.. inside each group."""
-    return running(df, keys, order, {name: F.lit(1).cast("long")}, slice_rows)
+    return running(df, keys, order, {name: F.lit(1).cast("long")})
 
 
 def blocked(df: DataFrame, keys: list[str], position: str, back: int = 0, ahead: int = 0,

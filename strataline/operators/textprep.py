@@ -182,9 +182,9 @@ def persona_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("_p", F.explode(F.array(*rows))).select(*df.columns, "_p.*")
 
 
-def qa_pairs(chunks: DataFrame, order: list[str], n: int = 100, text: str = "text") -> DataFrame:
-    """Instruction and output from the first n chunks; blank ones are skipped."""
-    first = chunks.orderBy(*order).limit(n)
+def qa_pairs(chunks: DataFrame, order: list[str], n: int | None = None, text: str = "text") -> DataFrame:
+    """Instruction and output from all chunks, or the first n; blank ones are skipped."""
+    first = chunks if n is None else chunks.orderBy(*order).limit(n)
     return first.filter(strip(F.col(text)) != "").select(
         *order, F.concat(F.lit("Explain the key points from the following text: "), F.substring(text, 1, 100), F.lit("...")).alias("instruction"),
         F.col(text).alias("output"))

@@ -28,7 +28,7 @@ EGGER = f"SELECT brand, n, df, {sql6('intercept', 'slope', 'se_intercept', 't_va
 
 def brands(t):
     """Studies are read by many steps below, so they are written once."""
-    s = settle(t.studies_tpch)
+    s = t.studies_tpch
     return s, settle(meta.pool(s, ["brand"]))
 
 
@@ -40,14 +40,14 @@ def _(t):
 cte("begg_tp", f"""
 SELECT *, {norm_p_sql('z')} AS p FROM (SELECT *, tau/sqrt(2*(2*n+5)/(9.0*n*(n-1))) AS z FROM (
 SELECT brand, n, sum(sign(a.r-b.r)*sign(a.v-b.v))/sqrt(sum(abs(sign(a.r-b.r)))*sum(abs(sign(a.v-b.v)))) AS tau FROM
- (SELECT brand, study_id, (effect-m)/se AS r, variance AS v, n FROM studies_tpch JOIN (SELECT brand, sum(effect/variance)/sum(1/variance) AS m, count(*) AS n FROM studies_tpch GROUP BY 1) USING (brand)) a
- JOIN (SELECT brand, study_id, (effect-m)/se AS r, variance AS v FROM studies_tpch JOIN (SELECT brand, sum(effect/variance)/sum(1/variance) AS m FROM studies_tpch GROUP BY 1) USING (brand)) b USING (brand)
+ (SELECT brand, study_id, round((effect-m)/se, 12) AS r, round(variance, 12) AS v, n FROM studies_tpch JOIN (SELECT brand, sum(effect/variance)/sum(1/variance) AS m, count(*) AS n FROM studies_tpch GROUP BY 1) USING (brand)) a
+ JOIN (SELECT brand, study_id, round((effect-m)/se, 12) AS r, round(variance, 12) AS v FROM studies_tpch JOIN (SELECT brand, sum(effect/variance)/sum(1/variance) AS m FROM studies_tpch GROUP BY 1) USING (brand)) b USING (brand)
 WHERE a.study_id<b.study_id AND n>=5 GROUP BY brand, n))""")
 
 
 @query("m15_beggs_test", f"SELECT brand, n, {sql6('tau', 'z AS z_value', 'p AS p_value')}, p<0.05 AS significant FROM begg_tp")
 def _(t):
-    return rounded(bias.beggs_test(settle(t.studies_tpch), ["brand"]))
+    return rounded(bias.beggs_test(t.studies_tpch, ["brand"]))
 
 
 cte("fill_rows", """
@@ -154,7 +154,7 @@ JOIN studies_events b ON t.metric=b.metric AND b.day<=t.day GROUP BY ALL)""")
 @query("m21_cumulative", f"""SELECT metric, study_id, strftime(day,'%Y-%m-%d') AS timestamp, k AS n_studies, {sql6('e AS pooled_effect',
  f'e-{Z!r}*s AS ci_lower', f'e+{Z!r}*s AS ci_upper', 'p_value')} FROM cumulative_ev""")
 def _(t):
-    return rounded(sensitivity.cumulative(settle(t.studies_events), ["metric"], "day"))
+    return rounded(sensitivity.cumulative(t.studies_events, ["metric"], "day"))
 
 
 cte("influential_ev", f"""SELECT l.metric, l.study_id FROM loo_ev l JOIN influence_ev i USING (metric, study_id)
@@ -162,7 +162,7 @@ cte("influential_ev", f"""SELECT l.metric, l.study_id FROM loo_ev l JOIN influen
 
 
 def sensitivity_parts(t):
-    s, by = settle(t.studies_events), ["metric"]
+    s, by = t.studies_events, ["metric"]
     p = meta.pool(s, by)
     loo = settle(sensitivity.leave_one_out(s, p, by))
     return p, loo, sensitivity.influential(loo, sensitivity.influence(s, p, by, loo), p, by)

@@ -85,7 +85,9 @@ def _(t):
 
 cte("lex", f"SELECT story, chapter, {TOK.format('text')} AS g, {TOK.format('concat_ws(chr(32), method, ref)')} AS r FROM prev3")
 BIG = lambda x: f"list_distinct(list_transform(range(1,len({x})), lambda i: {x}[i]||' '||{x}[i+1]))"
-LCS = "list_last(list_reduce(list_concat([list_transform(r100, lambda x: 0)], list_transform(g100, lambda w: list_filter(list_transform(range(1,len(r100)+1), lambda j: CASE WHEN r100[j]=w THEN j::INT ELSE 0 END), lambda j: j>0))), lambda acc, p: list_transform(range(1,len(acc)+1), lambda j: list_max(list_transform(range(1,j+1), lambda i: CASE WHEN list_contains(p, i::INT) THEN CASE WHEN i>1 THEN acc[i-1] ELSE 0 END+1 ELSE acc[i] END)))))"
+# Longest common subsequence as the longest rising run of places in r, over the words of g: the ends of the best runs are kept in order.
+PLACES = "flatten(list_transform(g, lambda w: list_reverse_sort(list_filter(range(1,len(r)+1), lambda j: r[j]=w))))"
+LCS = f"len(list_reduce(list_concat([[]::BIGINT[]], list_transform({PLACES}, lambda j: [j])), lambda ends, j: list_concat(list_concat(list_filter(ends, lambda e: e<j[1]), j), list_slice(list_filter(ends, lambda e: e>=j[1]), 2, len(ends)))))"
 cte("lexical", f"""SELECT story, chapter, 0.3*len(list_intersect(list_distinct(g),list_distinct(r)))/greatest(1,len(list_distinct(g)))+0.3*CASE WHEN len(g)>1 THEN len(list_intersect({BIG('g')},{BIG('r')}))/greatest(1,len({BIG('g')})) ELSE 0 END AS overlap, g, r FROM lex""")
 
 
@@ -100,7 +102,7 @@ def _(t):
     return rounded(co.lexical(s, "method").select("story", "chapter", "overlap"))
 
 
-cte("rouge", f"SELECT story, chapter, CASE WHEN l=0 THEN 0 ELSE 2*(l/len(g100))*(l/len(r100))/(l/len(g100)+l/len(r100)) END AS rouge_l FROM (SELECT *, {LCS} AS l FROM (SELECT story, chapter, list_slice(g,1,100) AS g100, list_slice(r,1,100) AS r100 FROM lex))")
+cte("rouge", f"SELECT story, chapter, CASE WHEN l=0 THEN 0 ELSE 2*(l/len(g))*(l/len(r))/(l/len(g)+l/len(r)) END AS rouge_l FROM (SELECT *, {LCS} AS l FROM lex)")
 
 
 @query("n17_rouge_l", "SELECT story, chapter, round(rouge_l,6)+0.0 AS rouge_l, round(overlap+rouge_l*0.4,6)+0.0 AS lexical FROM rouge JOIN lexical USING (story, chapter)")

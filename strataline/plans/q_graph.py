@@ -236,7 +236,7 @@ def _(t):
 
 @query("g25_plot_complications", """WITH l AS (SELECT DISTINCT src, dst FROM g_edges WHERE src<>dst), ch AS (SELECT id FROM g_nodes WHERE type='CHARACTER'), w2 AS (SELECT DISTINCT x.src AS a, y.dst AS b FROM l x JOIN l y ON y.src=x.dst WHERE x.src IN (SELECT id FROM ch)),
  w3 AS (SELECT DISTINCT a, y.dst AS b FROM w2 JOIN l y ON y.src=w2.b), u AS (SELECT * FROM w2 UNION SELECT * FROM w3)
-SELECT 'character_tension' AS kind, 'high' AS priority, a AS first, c AS second FROM (SELECT * FROM triangles ORDER BY members LIMIT 3) UNION ALL
+SELECT 'character_tension' AS kind, 'high' AS priority, a AS first, c AS second FROM triangles UNION ALL
 SELECT 'reveal_connection','medium',a,b FROM u WHERE a<b AND b IN (SELECT id FROM ch) AND (a,b) NOT IN (SELECT (src,dst) FROM l) AND (b,a) NOT IN (SELECT (src,dst) FROM l) UNION ALL
 SELECT 'unresolved_event','low',id,'' FROM g_nodes WHERE type='EVENT' AND id NOT IN (SELECT src FROM l)""")
 def _(t):

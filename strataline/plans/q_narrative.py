@@ -31,12 +31,12 @@ def _(t):
     return arcs.transitions(t.char_states).withColumn("magnitude", F.round("magnitude", 9))
 
 
-CHAP_EV = "SELECT day(o_orderdate) AS chapter, o_orderkey AS seq, 'Order#'||o_orderkey AS name FROM orders WHERE month(o_orderdate)=2 AND o_orderpriority='1-URGENT'"
+CHAP_EV = "SELECT day(o_orderdate) AS chapter, o_orderkey AS seq, 'Order#'||o_orderkey AS name FROM orders"
 
 
 @query("n2_trigger_events", f"""WITH l AS (SELECT chapter, arg_max(name, seq) AS name FROM ({CHAP_EV}) GROUP BY 1) SELECT m.character, m.from_chapter, m.to_chapter, coalesce(arg_max(l.name, l.chapter),'unknown_catalyst') AS trigger FROM moves m LEFT JOIN l ON l.chapter BETWEEN m.from_chapter AND m.to_chapter GROUP BY 1,2,3""")
 def _(t):
-    ev = t.orders.filter((F.month("o_orderdate") == 2) & (c("o_orderpriority") == "1-URGENT")).select(F.dayofmonth("o_orderdate").cast("long").alias("chapter"), c("o_orderkey").alias("seq"), F.concat(F.lit("Order#"), c("o_orderkey").cast("string")).alias("name"))
+    ev = t.orders.select(F.dayofmonth("o_orderdate").cast("long").alias("chapter"), c("o_orderkey").alias("seq"), F.concat(F.lit("Order#"), c("o_orderkey").cast("string")).alias("name"))
     return arcs.trigger_events(arcs.transitions(t.char_states), ev).select("character", "from_chapter", "to_chapter", "trigger")
 
 
@@ -142,7 +142,7 @@ def _(t):
 
 SC = "[" + ",".join(f"{{'s': {'+'.join(f'''regexp_matches(lower(s),'{p}')::INT''' for p in ps)}, 'o': {-i}, 'k': '{k}'}}" for i, (k, ps) in enumerate(lexicons.PLOT_PATTERNS.items())) + "]"
 cte("points", f"""SELECT story, chapter, seq, CASE WHEN b.s>0 THEN b.k WHEN length(s)>50 AND ({' OR '.join(f"contains(lower(s),'{w}')" for w in lexicons.DEVELOPMENT_WORDS)}) THEN 'development' END AS event_type, array_to_string(list_slice({WORDS.format('s')},1,6),' ') AS title, s[:200] AS description,
- array_to_string(list_filter({NAMES!r}, lambda n: contains(lower(s),lower(n))),',') AS involved, list_filter({lexicons.CAUSAL_WORDS!r}, lambda w: contains(lower(s[:200]),w)) AS causal FROM (SELECT *, list_max({SC}) AS b FROM (
+ array_to_string(list_filter({NAMES!r}, lambda n: contains(lower(s),lower(n))),',') AS involved, list_filter({lexicons.CAUSAL_WORDS!r}, lambda w: contains(lower(s),w)) AS causal FROM (SELECT *, list_max({SC}) AS b FROM (
  SELECT story, chapter, unnest(p) AS s, unnest(range(0,len(p)))::INT AS seq FROM (SELECT story, chapter, list_filter({SENTS.format('text')}, lambda x: length(x)>20) AS p FROM segments)))""")
 
 

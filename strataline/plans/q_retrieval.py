@@ -17,9 +17,9 @@ lw = lambda s: WORDS.format(f"lower({s})")
 
 cte("query_set", f"SELECT item_id AS qid, array_to_string({WORDS.format('text')},' ') AS query FROM benchmark")
 cte("bm_tok", f"SELECT doc_id AS doc, {lw('text')} AS t FROM documents")
-cte("bm_post", "SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM bm_tok) GROUP BY 1,2,3")
-cte("bm_raw", "SELECT term, df, avgdl, n_docs, ln((n_docs-df+0.5)/(df+0.5)) AS raw FROM (SELECT term, count(*) AS df FROM bm_post GROUP BY 1), (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM (SELECT DISTINCT doc, dl FROM bm_post))")
-cte("bm_stats", "SELECT term, df, avgdl, CASE WHEN raw<0 THEN 0.25*(SELECT avg(raw) FROM bm_raw) ELSE raw END AS idf FROM bm_raw")
+cte("bm_post", "SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM bm_tok) GROUP BY 1,2,3", once=True)
+cte("bm_raw", "SELECT term, df, avgdl, n_docs, ln((n_docs-df+0.5)/(df+0.5)) AS raw FROM (SELECT term, count(*) AS df FROM bm_post GROUP BY 1), (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM (SELECT DISTINCT doc, dl FROM bm_post))", once=True)
+cte("bm_stats", "SELECT term, df, avgdl, CASE WHEN raw<0 THEN 0.25*mean ELSE raw END AS idf FROM bm_raw, (SELECT avg(raw) AS mean FROM bm_raw)", once=True)
 
 
 def bm_sql(queries):

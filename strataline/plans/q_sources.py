@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators import experiments as ex, meta, retrieval
-from ..session import shared_folder
+from ..operators import entities as en, experiments as ex, meta, retrieval
+from ..session import intermediate
 from ..sources import readers, sinks
 from .q_meta import rounded, sql6
 from .q_retrieval import index, vecs
@@ -20,7 +17,7 @@ c = F.col
 
 def scratch(t, name: str) -> str:
     """A new folder per run next to the checkpoints."""
-    return os.path.join(shared_folder(t.spark), f"run-{uuid.uuid4().hex[:12]}", name)
+    return intermediate(t.spark, "runs", name)
 
 
 COUNTS = ["control_conversions", "control_total", "treatment_conversions", "treatment_total"]
@@ -35,18 +32,20 @@ def _(t):
     return readers.experiment_csv(t.spark, path, types).drop("source_file")
 
 
-@query("s2_file_listing")
-def _(t):
-    return readers.experiment_files(t.spark, t.folder, "*.parquet").select("name", "size", "suffix")
-
+FILES = "SELECT metric, CASE WHEN metric='view' THEN 0 ELSE control_total END AS control_total FROM studies_events"
 
-STATUS_ROWS = "SELECT metric||'.csv' AS source_file, control_total>150+CASE WHEN metric='view' THEN 1000 ELSE 0 END AS valid, metric<>'error' AS complete FROM studies_events"
 
-
-@query("s3_status_report", f"SELECT source_file, count(*) AS rows, count(*) FILTER (valid) AS valid_rows, CASE WHEN NOT bool_and(complete) THEN 'Error' WHEN count(*) FILTER (valid)=0 THEN 'Warning' ELSE 'Success' END AS status FROM ({STATUS_ROWS}) GROUP BY 1")
+@query("s3_status_report", f"SELECT metric||'.csv' AS source_file, count(*) AS rows, count(*) FILTER (control_total>150 AND metric NOT IN ('error','signup')) AS valid_rows, CASE WHEN metric IN ('error','signup') THEN 'Error' WHEN count(*) FILTER (control_total>150)=0 THEN 'Warning' ELSE 'Success' END AS status FROM ({FILES}) GROUP BY metric")
 def _(t):
-    rows = t.studies_events.select(F.concat("metric", F.lit(".csv")).alias("source_file"), (c("control_total") > 150 + F.when(c("metric") == "view", 1000).otherwise(0)).alias("valid"), (c("metric") != "error").alias("complete"))
-    return readers.status_report(rows)
+    """Files of five metrics: one without a needed column, one that is no table, one without a valid row."""
+    path = scratch(t, "experiments")
+    s = t.studies_events.withColumn("control_total", F.when(c("metric") == "view", 0).otherwise(c("control_total"))).select("study_id", "metric", *COUNTS)
+    out = lambda df: df.write.mode("append").partitionBy("metric").option("header", True).csv(path)
+    out(s.filter("metric NOT IN ('error', 'signup')"))
+    out(s.filter("metric = 'error'").drop("control_total"))
+    s.filter("metric = 'signup'").select("metric", F.concat(F.lit("torn "), F.hash("study_id").cast("string")).alias("value")).write.mode("append").partitionBy("metric").text(path)
+    lines = readers.file_lines(t.spark, path).withColumn("source_file", F.concat(F.regexp_extract("path", "metric=([^/]+)/", 1), F.lit(".csv")))
+    return readers.status_report(readers.checked_lines(lines, "study_id", COUNTS, c("fields")["control_total"].cast("long") > 150))
 
 
 @query("s4_changed_content", "SELECT doc_id, md5(text) AS hash FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id%3=0)")
@@ -55,10 +54,14 @@ def _(t):
     return readers.changed(d, d.filter("doc_id % 3 = 0"), ["hash"]).select("doc_id", "hash")
 
 
-@query("s5_document_ingest", "SELECT source||'.txt' AS source_file, doc_id, length(text) AS chars FROM documents WHERE regexp_matches(text,'\\S')")
+@query("s5_document_ingest", "SELECT source AS folder, sum(length(text)+1)::BIGINT AS chars FROM documents GROUP BY 1")
 def _(t):
-    d = t.documents.filter(c("text").rlike(r"\S"))
-    return d.select(F.concat("source", F.lit(".txt")).alias("source_file"), "doc_id", F.length("text").cast("long").alias("chars"))
+    """Text files below one folder per source; a document and a line feed after the other, and one file of blanks."""
+    path = scratch(t, "texts")
+    t.documents.select("source", "text").write.partitionBy("source").text(path)
+    t.spark.range(1).select(F.lit("none").alias("source"), F.lit("  ").alias("text")).write.mode("append").partitionBy("source").text(path)
+    files = readers.text_files(t.spark, path).filter(c("text").rlike(r"\S"))
+    return files.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder")).agg(F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 @query("s6_rows_as_text", "SELECT n_regionkey AS sheet, n_nationkey AS pos, 1 AS part, concat_ws(' | ', n_nationkey::VARCHAR, CASE WHEN n_nationkey%4<>0 THEN n_name END) AS line FROM nation UNION ALL SELECT DISTINCT n_regionkey, -1, 0, '## Sheet: '||n_regionkey FROM nation")
@@ -156,28 +159,36 @@ def _(t):
     return e.select("e.user_id", "e.action", r6(c("e.details.value"), "value"))
 
 
-@query("s17_triple_sink", "SELECT doc_id, 3 AS terms, 2 AS triples FROM documents")
+@query("s17_triple_sink", "SELECT story, chapter, source_id AS subject, relation AS predicate, target_id AS object, count(*) AS n FROM relations GROUP BY ALL")
 def _(t):
+    """The relations that the texts state, as one list of triples per segment, written and read again."""
     path = scratch(t, "triples")
-    tri = F.array(F.array("source", F.lit("HAS_LANGUAGE"), "lang"), F.array(c("doc_id").cast("string"), F.lit("FROM"), "source"))
-    t.documents.select("source", c("doc_id").alias("chunk_id"), tri.alias("triples")).write.json(path)
-    back = t.spark.read.schema("source string, chunk_id long, triples array<array<string>>").json(path)
-    return back.select(c("chunk_id").alias("doc_id"), F.size(c("triples")[0]).alias("terms"), F.size("triples").alias("triples"))
+    r = en.pattern_relations(t.segments.select("story", "chapter", "text"))
+    r.groupBy("story", "chapter").agg(F.collect_list(F.array("source_id", "relation", "target_id")).alias("triples")).write.json(path)
+    back = t.spark.read.schema("story long, chapter long, triples array<array<string>>").json(path).select("story", "chapter", F.explode("triples").alias("x"))
+    return back.groupBy("story", "chapter", c("x")[0].alias("subject"), c("x")[1].alias("predicate"), c("x")[2].alias("object")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s18_graph_save_load", "SELECT type, count(*) AS nodes FROM g_nodes GROUP BY 1")
+@query("s18_graph_save_load", f"SELECT 'node' AS kind, type AS name, count(*) AS n, count(DISTINCT id) AS ids, {sql6('sum(first_appearance)::DOUBLE AS total')} FROM g_nodes GROUP BY type UNION ALL SELECT 'edge', relation, count(*), count(DISTINCT edge_id), round(sum(strength),6)+0.0 FROM g_edges GROUP BY relation")
 def _(t):
     path = scratch(t, "graph")
     sinks.save_graph(t.g_nodes, t.g_edges, path)
-    return sinks.load_graph(t.spark, path)[0].groupBy("type").agg(F.count(F.lit(1)).alias("nodes"))
+    nodes, edges = sinks.load_graph(t.spark, path)
+    tell = lambda df, kind, name, key, value: df.groupBy(F.lit(kind).alias("kind"), c(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("ids"), F.sum(c(value).cast("double")).alias("total"))
+    return rounded(tell(nodes, "node", "type", "id", "first_appearance").unionByName(tell(edges, "edge", "relation", "edge_id", "strength")))
 
 
-@query("s19_index_save_load", f"SELECT term, df, {sql6('idf')} FROM bm_stats")
+@query("s19_index_save_load", f"""SELECT 'term' AS kind, term AS name, df::BIGINT AS n, {sql6('idf AS value')} FROM bm_stats UNION ALL SELECT 'posting', doc::VARCHAR, sum(tf)::BIGINT, round(max(dl)::DOUBLE,6)+0.0 FROM bm_post GROUP BY doc
+ UNION ALL SELECT 'vector', vec_id::VARCHAR, len(embedding)::BIGINT, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)),6)+0.0 FROM embeddings""")
 def _(t):
     path = scratch(t, "index")
     post, stats = index(t)
-    sinks.save_index(post, stats, vecs(t), path, 8)
-    return rounded(sinks.load_index(t.spark, path)[1].select("term", "df", "idf"))
+    sinks.save_index(post, stats, t.embeddings.select("vec_id", "embedding"), path, 8)
+    post, stats, vectors = sinks.load_index(t.spark, path)
+    row = lambda df, kind, name, n, value: df.select(F.lit(kind).alias("kind"), c(name).cast("string").alias("name"), n.cast("long").alias("n"), value.cast("double").alias("value"))
+    docs = post.groupBy("doc").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rounded(row(stats, "term", "term", c("df"), c("idf")).unionByName(row(docs, "posting", "doc", c("tf"), c("dl"))).unionByName(row(vectors, "vector", "vec_id", F.size("embedding"), total)))
 
 
 @query("s20_narrative_lines", """SELECT conv_id AS story, -1 AS chapter, 0 AS part, 0 AS seq, '# Story '||conv_id AS line FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT DISTINCT conv_id, turn+1, 1, 0, '## Chapter '||(turn+1) FROM conversations UNION ALL SELECT conv_id, turn+1, 2, turn, text FROM conversations""")

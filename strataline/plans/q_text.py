@@ -135,7 +135,7 @@ def _(t):
     return rounded(tp.persona_scores(d).select("doc_id", "persona", "score"))
 
 
-@query("t13_qa_pairs", f"SELECT doc_id, 'Explain the key points from the following text: '||text[:100]||'...' AS instruction, text AS output FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100) WHERE {STRIP.format('text')}<>''")
+@query("t13_qa_pairs", f"SELECT doc_id, 'Explain the key points from the following text: '||text[:100]||'...' AS instruction, text AS output FROM documents WHERE {STRIP.format('text')}<>''")
 def _(t):
     return tp.qa_pairs(t.documents, ["doc_id"])
 

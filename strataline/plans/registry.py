@@ -8,11 +8,14 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 _CTES: dict[str, str] = {}
+_ONCE: set[str] = set()
 
 
-def cte(name: str, sql: str) -> None:
-    """Name a derived relation so that check SQL can refer to it."""
+def cte(name: str, sql: str, once: bool = False) -> None:
+    """Name a derived relation so that check SQL can refer to it; ``once`` has it worked out a single time."""
     _CTES[name] = sql
+    if once:
+        _ONCE.add(name)
 
 
 def _needed(sql: str, found: list[str]) -> list[str]:
@@ -28,7 +31,7 @@ def expand(sql: str) -> str:
     """Put the derived relations a statement mentions in front of it."""
     body = sql.strip()
     names = _needed(body, [])
-    parts = [f"{n} AS (\n{_CTES[n]}\n)" for n in names]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in _ONCE)}(\n{_CTES[n]}\n)" for n in names]
     head = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
     if head:
         own = body[head.end():]

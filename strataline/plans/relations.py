@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.effects import log_odds_ratio, log_odds_se
+from ..operators.scale import settle
 from . import stories
 from .registry import cte
 
@@ -44,11 +45,11 @@ class Tables:
 
     @cached_property
     def studies_events(self) -> DataFrame:
-        return studies_events(self.events)
+        return settle(studies_events(self.events))  # pooling reads a study table several times
 
     @cached_property
     def studies_tpch(self) -> DataFrame:
-        return studies_tpch(self.lineitem, self.part)
+        return settle(studies_tpch(self.lineitem, self.part))
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -64,11 +65,11 @@ class Tables:
 
     @cached_property
     def g_nodes(self) -> DataFrame:
-        return stories.g_nodes(self)
+        return settle(stories.g_nodes(self), "type")
 
     @cached_property
     def g_edges(self) -> DataFrame:
-        return stories.g_edges(self)
+        return settle(stories.g_edges(self), "relation")
 
 
 def with_effects(counts: DataFrame) -> DataFrame:

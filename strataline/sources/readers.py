@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,10 +37,34 @@ def status_report(rows: DataFrame, file: str = "source_file", valid: str = "vali
     return g.select(file, "rows", "valid_rows", F.when(~F.col("_c"), "Error").when(F.col("valid_rows") == 0, "Warning").otherwise("Success").alias("status"))
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the lines of all files below a folder."""
+    df = spark.read.option("recursiveFileLookup", True).text(path)
+    return df.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def checked_lines(lines: DataFrame, first: str, required: list[str], valid: Column, file: str = "source_file") -> DataFrame:
+    """Data lines of headered files with ``complete`` (the file's header has all required columns) and ``valid``.
+
+    A header starts with the column ``first``; a file without one is incomplete.
+    ``valid`` may read ``fields``, a map from column to text. The table of
+    headers has one row per file.
+    """
+    head = F.col("value").startswith(first + ",")
+    headers = lines.filter(head).groupBy(file).agg(F.min("value").alias("_h"))
+    rows = lines.filter(~head).join(headers, file, "left").withColumn("_n", F.split("_h", ","))
+    # A line may have more or fewer fields than its header: surplus ones are dropped, missing ones are null.
+    cells = F.transform(F.sequence(F.lit(1), F.size("_n")), lambda i: F.try_element_at(F.split("value", ","), i))
+    rows = rows.withColumn("fields", F.when(F.col("_n").isNotNull(), F.map_from_arrays("_n", cells)))
+    complete = F.col("_n").isNotNull() & (F.size(F.array_except(F.array(*map(F.lit, required)), F.col("_n"))) == 0)
+    rows = rows.withColumn("complete", F.coalesce(complete, F.lit(False)))
+    return rows.withColumn("valid", F.col("complete") & F.coalesce(valid, F.lit(False))).drop("_h", "_n", "fields")
+
+
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One row per text file below the path; unreadable files are skipped."""
     df = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return df.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
+    return df.select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def rows_as_text(df: DataFrame, group: str, order: list[str], columns: list[str]) -> DataFrame:

@@ -18,8 +18,10 @@ def hot(spark):
 
 
 def test_running_in_slices(hot):
-    got = scale.running(hot, ["k"], ["v", "i"], {"n": F.lit(1).cast("long"), "s": F.col("x")}, slice_rows=50)
-    assert scale.sliced(hot, ["k"], ["v", "i"], 50).filter("k = 'hot'").select("_slice").distinct().count() > 10
+    got = scale.running(hot, ["k"], ["v", "i"], {"n": F.lit(1).cast("long"), "s": F.col("x")})
+    cut = scale.sliced(hot.repartition(4), ["k"], ["v", "i"])
+    spans = cut.filter("k = 'hot'").groupBy("_slice").agg(F.min(F.struct("v", "i")).alias("a"), F.max(F.struct("v", "i")).alias("b")).orderBy("_slice").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
     w = Window.partitionBy("k").orderBy("v", "i").rowsBetween(Window.unboundedPreceding, 0)
     want = hot.withColumns({"n2": F.count(F.lit(1)).over(w), "s2": F.sum("x").over(w)}).select("i", "n2", "s2")
     j = got.join(want, "i")
@@ -27,7 +29,7 @@ def test_running_in_slices(hot):
 
 
 def test_blocked_frames(hot):
-    rows = scale.numbered(hot, ["k"], ["v", "i"], slice_rows=50)
+    rows = scale.numbered(hot, ["k"], ["v", "i"])
     cut = scale.blocked(rows, ["k"], "rn", back=19, ahead=2, size=64)
     w = lambda *k: Window.partitionBy(*k).orderBy("rn").rowsBetween(-19, 2)
     a = cut.withColumn("m", F.avg("x").over(w("k", "_block"))).filter("_own")
