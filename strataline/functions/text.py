@@ -37,3 +37,9 @@ def any_hit(text: Column, needles: list[str]) -> Column:
     for w in needles:
         out = out | text.contains(w)
     return out
+
+
+def head(text: Column | str, chars: int | None) -> Column:
+    """The first so many characters, or all."""
+    text = F.col(text) if isinstance(text, str) else text
+    return text if chars is None else F.substring(text, 1, chars)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.text import count_hits, sentences, strip, words
+from ..functions.text import count_hits, head, sentences, strip, words
 from . import arcs, graph
 from .retrieval import top_k
 from .scale import settle, with_prior
@@ -247,15 +247,19 @@ def approach_metrics(df: DataFrame, names: list[str], issues: int) -> DataFrame:
     return df.withColumns({"coherence": F.when(short, 0.3).otherwise(clamp(coh)), "consistency": F.when(short, 0.5).otherwise(clamp(con))})
 
 
-def source_diversity(sources: DataFrame, by: list[str], text: str) -> DataFrame:
-    return sources.groupBy(*by).agg((F.count_distinct(F.substring(text, 1, 50)) / F.count(F.lit(1))).alias("diversity"))
+def source_diversity(sources: DataFrame, by: list[str], text: str, chars: int | None = None) -> DataFrame:
+    """Distinct texts (or first ``chars`` characters) among all."""
+    return sources.groupBy(*by).agg((F.count_distinct(head(text, chars)) / F.count(F.lit(1))).alias("diversity"))
 
 
-def fusion_context(segments: DataFrame, entities: DataFrame) -> DataFrame:
-    """Per story: the first two semantic sources cut to 300 characters, and the diversity over sources and entities."""
+def fusion_context(segments: DataFrame, entities: DataFrame, shown: int | None = None, chars: int | None = None) -> DataFrame:
+    """Per story: the first two semantic sources (``shown`` characters of each, or all), and the diversity over sources and entities.
+
+    Sources are told apart by their text, or its first ``chars`` characters.
+    """
     top = top_k(segments.filter("approach = 'unified'"), ["story"], ["chapter"], 2).groupBy("story").agg(
-        F.array_sort(F.collect_list(F.struct("chapter", F.substring("text", 1, 300).alias("t")))).alias("l"))  # two per story
-    src = segments.filter("approach = 'unified'").select("story", F.lit(0).alias("kind"), F.substring("text", 1, 50).alias("key")).distinct()
+        F.array_sort(F.collect_list(F.struct("chapter", head("text", shown).alias("t")))).alias("l"))  # two per story
+    src = segments.filter("approach = 'unified'").select("story", F.lit(0).alias("kind"), head("text", chars).alias("key")).distinct()
     ent = entities.select("story", F.lit(1).alias("kind"), F.col("id").alias("key")).distinct()
     both = src.unionByName(ent)
     div = both.groupBy("story").agg((F.count_distinct("key") / F.count(F.lit(1))).alias("diversity"))

@@ -58,6 +58,17 @@ def influence_sizes(diag: DataFrame, by: list[str]) -> DataFrame:
     return diag.select(*by, "study_id", "leverage", "std_residual", size.alias("marker"), "is_influential")
 
 
+def leave_one_out_chart(loo: DataFrame, pooled: DataFrame, by: list[str]) -> DataFrame:
+    """One interval per study left out, its place on the axis, and the overall effect as the line to compare with."""
+    rows = numbered(loo.select(*by, "study_id", F.col("pooled_effect").alias("effect"), "ci_lower", "ci_upper"), by, ["study_id"], "place")
+    return rows.join(pooled.select(*by, F.col("re_effect").alias("overall")), by)
+
+
+def cumulative_chart(cumulative: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """The pooled effect and its interval after each further study, and whether it is significant by then."""
+    return cumulative.select(*by, "study_id", "timestamp", "n_studies", F.col("pooled_effect").alias("effect"), "ci_lower", "ci_upper", (F.col("p_value") < alpha).alias("significant"))
+
+
 # Confidence words by p-value and consistency words by I2.
 CONFIDENCE = [(0.001, "Very High"), (0.01, "High"), (0.05, "Moderate"), (0.10, "Low"), (None, "Very Low")]
 SPREAD = [(25, "Low (experiments show consistent results)"), (50, "Moderate (some variation between experiments)"),

@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.text import any_hit, count_hits, tokens, words
+from ..functions.text import any_hit, count_hits, head, tokens, words
 from .scale import blocked, numbered
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-SALTS = 16
-QUERY_BYTES = 64 << 20
-BLOCK_ROWS = 50_000
+#: Rows of a block of vectors, of documents and of queries: they bound what a task holds.
+BLOCK_ROWS, BLOCK_DOCS, BLOCK_QUERIES = 8_192, 4_096, 512
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -42,23 +41,52 @@ def term_statistics(post: DataFrame) -> DataFrame:
         "term", "df", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, qid: str = "qid", text: str = "query") -> DataFrame:
-    """(qid, doc, score) for documents that share a term with the query.
-
-    The join is on (term, salt): a term found in a third of all documents is
-    spread over ``SALTS`` tasks, and only query terms are repeated.
+def _term_scores(q: pd.DataFrame, p: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best k documents of one block per query of one block, by a table of queries and documents that a term at a time is added to."""
+    qids, qi = np.unique(q["qid"].to_numpy(), return_inverse=True)
+    docs, di = np.unique(p["doc"].to_numpy(), return_inverse=True)
+    score, met = np.zeros((len(qids), len(docs))), np.zeros((len(qids), len(docs)), bool)
+    weight, asked = (q["qtf"] * q["idf"]).to_numpy(), q.groupby("term", sort=True).indices
+    for term, rows in p.groupby("term", sort=True).indices.items():
+        if term in asked:
+            at = np.ix_(qi[asked[term]], di[rows])
+            score[at] += weight[asked[term]][:, None] * p["gain"].to_numpy()[rows][None, :]
+            met[at] = True
+    score = np.where(met, np.round(score, 9), -np.inf)
+    top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # documents rise, so ties go to the smaller one
+    value = np.take_along_axis(score, top, axis=1).ravel()
+    rows = pd.DataFrame({"qid": np.repeat(qids, top.shape[1]), "doc": docs[top].ravel(), "score": value})
+    return rows[np.isfinite(value)]
+
+
+def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, qid: str = "qid", text: str = "query") -> DataFrame:
+    """(qid, doc, score): per query and block of documents the best ``k`` of those that share a term with it.
+
+    Postings are dealt to blocks of about ``BLOCK_DOCS`` documents, queries to
+    blocks of about ``BLOCK_QUERIES``; every block of queries meets every block
+    of documents, and sums are made there. So no (query, document) pair is
+    shuffled, and a term found in a third of all documents is spread over all
+    blocks. Only terms that are asked for leave the postings.
     """
-    asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(
-        F.count(F.lit(1)).alias("qtf")).join(stats, "term")
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = post.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS)))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return salted.join(asked, ["term", "salt"]).groupBy("qid", "doc").agg(F.round(F.sum(part), 9).alias("score"))
+    asked = queries.select(F.col(qid).cast("long").alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(
+        F.count(F.lit(1)).alias("qtf")).join(stats.select("term", "idf"), "term")
+    length = stats.agg(F.first("avgdl").alias("avgdl"))  # one row
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    wanted = post.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(length), F.lit(True)).select(
+        F.col("doc").cast("long").alias("doc"), "term", gain.alias("gain"))
+    parts = lambda df, c, size: max(1, math.ceil((df.agg(F.approx_count_distinct(c)).first()[0] or 0) / size))
+    n_q, n_d = parts(queries, qid, BLOCK_QUERIES), parts(post, "doc", BLOCK_DOCS)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumns({"qb": deal("qid", n_q), "db": everywhere(n_d)})
+    right = wanted.withColumns({"db": deal("doc", n_d), "qb": everywhere(n_q)})
+    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(
+        lambda q, p: _term_scores(q, p, k) if len(q) and len(p) else pd.DataFrame({"qid": [], "doc": [], "score": []}), "qid long, doc long, score double")
 
 
 def bm25_top_k(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, keep_zero: bool = False) -> DataFrame:
     """Ranked hits per query; optionally filled with zero-score documents up to k."""
-    hits = top_k(bm25_scores(queries, post, stats), ["qid"], [F.desc("score"), "doc"], k)
+    hits = top_k(bm25_scores(queries, post, stats, k), ["qid"], [F.desc("score"), "doc"], k)
     if not keep_zero:
         return hits.filter(F.col("score") > 0)
     short = queries.select("qid").join(hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k), "qid", "left_anti")
@@ -110,19 +138,6 @@ def _best(q: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, max_age: float
     return pd.concat(out)
 
 
-def _blocks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Arrow batches gathered to blocks of about ``rows`` rows, so fewer partial results are emitted."""
-    held, n = [], 0
-    for pdf in batches:
-        held.append(pdf)
-        n += len(pdf)
-        if n >= rows:
-            yield pd.concat(held)
-            held, n = [], 0
-    if n:
-        yield pd.concat(held)
-
-
 def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", dim: int = 64, group: str | None = None,
                  max_age: float | None = None) -> DataFrame:
     """Exact nearest vectors: (qid, id, score, rank), optionally only inside the same ``group``.
@@ -130,33 +145,27 @@ def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cos
     With ``max_age`` both sides carry ``at``, and only vectors that are not
     younger than the query and at most that much older count.
 
-    No pair leaves a task: each task multiplies its block of vectors with the
-    queries and emits k rows per query. The query matrix is sent to the tasks
-    only when its counted size is below ``QUERY_BYTES``; larger query sets are
-    cut into blocks that meet blocks of vectors by key.
+    Vectors and queries of a group are dealt to blocks of about ``BLOCK_ROWS``
+    and ``BLOCK_QUERIES`` by their counts; a block of queries meets each block
+    of its own group, and k rows per query leave the task. One plan serves all
+    sizes, and nothing passes the driver. Vectors of another length than ``dim``
+    are an error; null ones are left out.
     """
-    spark = base.sparkSession
     grp = (F.col(group).cast("string") if group else F.lit("")).alias("grp")
     at = (F.col("at").cast("double") if max_age is not None else F.lit(0.0)).alias("at")
-    usable = lambda d, i: d.select(F.col(i).cast("long").alias(i), grp, at, F.col("vec").cast("array<double>").alias("vec")).filter(F.size("vec") == dim)
+    vec = F.when(F.size("vec") == dim, F.col("vec").cast("array<double>")).otherwise(F.raise_error(F.lit(f"a vector doesn't have {dim} components")))
+    usable = lambda d, i: d.filter(F.col("vec").isNotNull()).select(F.col(i).cast("long").alias(i), grp, at, vec.alias("vec"))
     queries, base = usable(queries, "qid"), usable(base, "id")
-    n_q = queries.count()
-    block = BLOCK_ROWS
-    if n_q * dim * 8 <= QUERY_BYTES:
-        shared = spark.sparkContext.broadcast(queries.orderBy("qid").toPandas())
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in _blocks(batches, block):
-                yield _best(shared.value, pdf, k, metric, max_age)
-
-        part = base.mapInPandas(scan, "qid long, id long, score double")
-    else:
-        n_b = max(1, math.ceil(n_q * dim * 8 / QUERY_BYTES))
-        salts = max(1, math.ceil(base.count() / block))
-        left = queries.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(n_b)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        right = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-        part = left.groupBy("blk", "salt").cogroup(right.groupBy("blk", "salt")).applyInPandas(
-            lambda q, b: _best(q, b, k, metric, max_age), "qid long, id long, score double")
+    count = lambda df, name, size: df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = count(queries, "qp", BLOCK_QUERIES).join(count(base, "bp", BLOCK_ROWS), "grp")
+    if not group:
+        sizes = F.broadcast(sizes)  # one row
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(sizes, "grp").withColumn("blk", deal("qid", "qp")).withColumn("salt", everywhere("bp")).drop("qp", "bp")
+    right = base.join(sizes, "grp").withColumn("salt", deal("id", "bp")).withColumn("blk", everywhere("qp")).drop("qp", "bp")
+    part = left.groupBy("grp", "blk", "salt").cogroup(right.groupBy("grp", "blk", "salt")).applyInPandas(
+        lambda q, b: _best(q, b, k, metric, max_age), "qid long, id long, score double")
     return top_k(part, ["qid"], [F.desc("score"), "id"], k)
 
 
@@ -170,10 +179,10 @@ def fuse(lists: list[tuple[DataFrame, Column | float]], key: str, k: int, rrf_k:
     return top_k(fused, ["qid"], [F.desc("score"), key], k)
 
 
-def fuse_by_prefix(semantic: DataFrame, lexical: DataFrame, docs: DataFrame, k: int, sem_w: float = 0.5, lex_w: float = 0.5) -> DataFrame:
-    """Fusion keyed by the first 100 characters, so near copies add up; the first content seen is kept."""
+def fuse_by_prefix(semantic: DataFrame, lexical: DataFrame, docs: DataFrame, k: int, sem_w: float = 0.5, lex_w: float = 0.5, chars: int | None = None) -> DataFrame:
+    """Fusion keyed by content, or its first ``chars`` characters, so copies add up; the first content seen is kept."""
     sem_w, lex_w = sem_w / (sem_w + lex_w), lex_w / (sem_w + lex_w)
-    d = docs.select(F.col("doc_id").alias("doc"), F.substring("text", 1, 100).alias("key"))
+    d = docs.select(F.col("doc_id").alias("doc"), head("text", chars).alias("key"))
     lists = semantic.select("qid", "doc", "rank", F.lit(0).alias("src"), F.lit(sem_w).alias("w")).unionByName(
         lexical.select("qid", "doc", "rank", F.lit(1).alias("src"), F.lit(lex_w).alias("w"))).join(d, "doc")
     # The last entry of the semantic list wins over earlier ones; lexical ones only fill gaps.

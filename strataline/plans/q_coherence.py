@@ -93,7 +93,7 @@ cte("lexical", f"""SELECT story, chapter, 0.3*len(list_intersect(list_distinct(g
 
 def scored(t):
     s = with_previous(t.segments, ["story"], ["chapter"], "text", 3)
-    return s.withColumns({"discourse": co.discourse(c("text"), c("prev"), NAMES), "temporal": co.temporal(c("text")), "voice": co.voice(c("text"), c("prev")), "semantic": F.lit(0.5)})
+    return s.withColumns({"discourse": co.discourse(c("text"), c("prev"), NAMES), "temporal": co.temporal(c("text")), "voice": co.voice(c("text"), c("prev"))})
 
 
 @query("n16_lexical_overlap", f"SELECT story, chapter, {sql6('overlap::DOUBLE AS overlap')} FROM lexical")
@@ -151,8 +151,11 @@ def _(t):
 BEST = f"SELECT a.label, a.vec_id, max({COS}) AS m FROM embeddings a JOIN embeddings b ON a.label=b.label WHERE a.vec_id%2=1 AND b.vec_id%2=0 GROUP BY 1,2"
 
 
-@query("n21_semantic", f"SELECT label, {sql6('least(1.0,o*0.6+x*0.3+greatest(0.0,0.1-v)) AS semantic')} FROM (SELECT label, avg(m) AS x, var_pop(m) AS v FROM ({BEST}) GROUP BY 1) JOIN (SELECT a.label, {COS} AS o FROM (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) a JOIN (SELECT label, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) b USING (label)) USING (label)")
-def _(t):
+cte("s_semantic", f"SELECT label, {sql6('least(1.0,o*0.6+x*0.3+greatest(0.0,0.1-v)) AS semantic')} FROM (SELECT label, avg(m) AS x, var_pop(m) AS v FROM ({BEST}) GROUP BY 1) JOIN (SELECT a.label, {COS} AS o FROM (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) a JOIN (SELECT label, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) b USING (label)) USING (label)")
+
+
+def semantic_scores(t):
+    """Semantic coherence per label: sentences are the odd vectors of a label, their context the even ones."""
     e = t.embeddings.select("vec_id", "label", c("embedding").alias("vec"))
     best = retrieval.vector_top_k(e.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "qid"), e.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "id"), 1, group="label")
     stats = best.join(e.select(c("vec_id").alias("qid"), "label"), "qid").groupBy("label").agg(F.avg("score").alias("x"), F.var_pop("score").alias("v"))
@@ -162,12 +165,19 @@ def _(t):
     return rounded(stats.join(o, "label").select("label", co.semantic(c("o"), c("x"), c("v")).alias("semantic")))
 
 
+@query("n21_semantic", "SELECT * FROM s_semantic")
+def _(t):
+    return semantic_scores(t)
+
+
 def parts(t):
-    s = co.lexical(scored(t), "method")
+    """All five parts; a story owns the vectors of its label, and without any its semantic part is neutral."""
+    s = co.lexical(scored(t), "method").withColumn("label", (c("story") % 10).cast("int"))
+    s = s.join(semantic_scores(t), "label", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.5)))
     return s.withColumns({p: F.round(p, 6) + F.lit(0.0) for p in ("lexical", "discourse", "temporal", "voice")})
 
 
-cte("scores", "SELECT story, chapter, approach, 0.25*0.5+0.2*round(overlap+rouge_l*0.4,6)+0.25*discourse+0.15*temporal+0.15*voice AS composite FROM segments JOIN lexical USING (story, chapter) JOIN (SELECT story, chapter, rouge_l FROM rouge) USING (story, chapter) JOIN s_discourse USING (story, chapter) JOIN s_temporal USING (story, chapter) JOIN s_voice USING (story, chapter)")
+cte("scores", "SELECT story, chapter, approach, 0.25*coalesce(semantic,0.5)+0.2*round(overlap+rouge_l*0.4,6)+0.25*discourse+0.15*temporal+0.15*voice AS composite FROM segments JOIN lexical USING (story, chapter) JOIN (SELECT story, chapter, rouge_l FROM rouge) USING (story, chapter) JOIN s_discourse USING (story, chapter) JOIN s_temporal USING (story, chapter) JOIN s_voice USING (story, chapter) LEFT JOIN s_semantic ON label=story%10")
 
 
 # Both sides round each part to six digits before it is weighted.

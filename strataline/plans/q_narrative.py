@@ -97,13 +97,13 @@ def _(t):
     return rounded(plot.approach_metrics(s, NAMES, 2).select("story", "chapter", "coherence", "consistency"))
 
 
-@query("n23_source_diversity", f"SELECT source, {sql6('count(DISTINCT text[:50])/count(*) AS diversity')} FROM documents GROUP BY 1")
+@query("n23_source_diversity", f"SELECT source, {sql6('count(DISTINCT text)/count(*) AS diversity')} FROM documents GROUP BY 1")
 def _(t):
     return rounded(plot.source_diversity(t.documents, ["source"], "text"))
 
 
-@query("n24_fusion_context", f"""WITH u AS (SELECT story, text, row_number() OVER (PARTITION BY story ORDER BY chapter) AS rn FROM segments WHERE approach='unified'), k AS (SELECT DISTINCT story, 0 AS kind, text[:50] AS key FROM segments WHERE approach='unified' UNION ALL SELECT DISTINCT story, 1, 'char_'||lower(name) FROM named WHERE approach='graph')
-SELECT story, coalesce(semantic,'') AS semantic, {sql6('diversity')} FROM (SELECT story, count(DISTINCT key)/count(*) AS diversity FROM k GROUP BY 1) LEFT JOIN (SELECT story, string_agg(text[:300], chr(10) ORDER BY rn) AS semantic FROM u WHERE rn<=2 GROUP BY 1) USING (story)""")
+@query("n24_fusion_context", f"""WITH u AS (SELECT story, text, row_number() OVER (PARTITION BY story ORDER BY chapter) AS rn FROM segments WHERE approach='unified'), k AS (SELECT DISTINCT story, 0 AS kind, text AS key FROM segments WHERE approach='unified' UNION ALL SELECT DISTINCT story, 1, 'char_'||lower(name) FROM named WHERE approach='graph')
+SELECT story, coalesce(semantic,'') AS semantic, {sql6('diversity')} FROM (SELECT story, count(DISTINCT key)/count(*) AS diversity FROM k GROUP BY 1) LEFT JOIN (SELECT story, string_agg(text, chr(10) ORDER BY rn) AS semantic FROM u WHERE rn<=2 GROUP BY 1) USING (story)""")
 def _(t):
     ent = plot.mentions(t.segments.filter("approach = 'graph'"), NAMES).select("story", F.concat(F.lit("char_"), F.lower("name")).alias("id"))
     return rounded(plot.fusion_context(t.segments, ent))

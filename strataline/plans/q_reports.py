@@ -62,6 +62,18 @@ def _(t):
     return rounded(reports.influence_sizes(sensitivity.influence(s, meta.pool(s, ME), ME), ME))
 
 
+@query("m26_leave_one_out_chart", f"SELECT l.metric, l.study_id, {sql6('l.e AS effect', f'l.e-{Z!r}*l.s AS ci_lower', f'l.e+{Z!r}*l.s AS ci_upper', 'p.re_effect AS overall')}, CAST(row_number() OVER (PARTITION BY l.metric ORDER BY l.study_id) AS BIGINT) AS place FROM loo_ev l JOIN pool_ev p USING (metric)")
+def _(t):
+    s = t.studies_events
+    p = settle(meta.pool(s, ME))
+    return rounded(reports.leave_one_out_chart(sensitivity.leave_one_out(s, p, ME), p, ME))
+
+
+@query("m26_cumulative_chart", f"SELECT metric, study_id, strftime(day,'%Y-%m-%d') AS timestamp, k AS n_studies, {sql6('e AS effect', f'e-{Z!r}*s AS ci_lower', f'e+{Z!r}*s AS ci_upper')}, p_value<0.05 AS significant FROM cumulative_ev")
+def _(t):
+    return rounded(reports.cumulative_chart(sensitivity.cumulative(t.studies_events, ME, "day"), ME))
+
+
 
 
 @query("m27_traffic_light", f"""SELECT brand, CASE WHEN p_value<0.05 AND ci_lower>0 AND ci_upper>0 THEN 'green' WHEN p_value<0.05 AND ci_lower<0 AND ci_upper<0 THEN 'red' ELSE 'yellow' END AS colour,

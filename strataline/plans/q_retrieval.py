@@ -107,7 +107,7 @@ def _(t):
 
 @query("r6_prefix_fusion", f"""SELECT qid, doc, CAST(rank AS INT) AS rank, {sql6('score')} FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM (
  SELECT qid, key, round(sum(w/(60+rank)),9) AS score, arg_min(doc, [src, CASE WHEN src=0 THEN -rank ELSE rank END]) AS doc FROM (
- SELECT qid, doc, rank, 1 AS src, 0.5 AS w FROM bm_ranked WHERE rank<=15 UNION ALL SELECT qid, doc, rank, 0, 0.5 FROM sem_ranked WHERE rank<=15) JOIN (SELECT doc_id AS doc, text[:100] AS key FROM documents) USING (doc) GROUP BY 1,2)) WHERE rank<=5""")
+ SELECT qid, doc, rank, 1 AS src, 0.5 AS w FROM bm_ranked WHERE rank<=15 UNION ALL SELECT qid, doc, rank, 0, 0.5 FROM sem_ranked WHERE rank<=15) JOIN (SELECT doc_id AS doc, text AS key FROM documents) USING (doc) GROUP BY 1,2)) WHERE rank<=5""")
 def _(t):
     lex, sem = both_lists(t, 15)
     return rounded(re_.fuse_by_prefix(sem, lex, t.documents, 5))

@@ -51,10 +51,10 @@ def test_previous_values(spark):
     assert got[("a", 0)] == [] and got[("a", 5)] == ["t2", "t3", "t4"] and got[("a", 1)] == ["t0"] and got[("b", 9)] == []
 
 
-@pytest.mark.parametrize("limit", [1, 64 << 20])
-def test_vector_search_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(retrieval, "QUERY_BYTES", limit * 8 * 4 * 4 if limit == 1 else limit)
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 40)
+@pytest.mark.parametrize("rows", [4, 40, 10_000])
+def test_vector_search_in_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", rows)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(1)
     base, ask = rng.normal(size=(150, 4)), rng.normal(size=(13, 4))
     b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id long, vec array<double>")
@@ -66,6 +66,41 @@ def test_vector_search_both_ways(spark, monkeypatch, limit):
     s = unit(ask) @ unit(base).T
     for i in range(13):
         assert [x for _, x in sorted(got[i])] == np.argsort(-s[i])[:5].tolist()
+    g = lambda df, key: df.withColumn("g", F.col(key) % 3)
+    got = {}
+    for r in retrieval.vector_top_k(g(q, "qid"), g(b, "id"), 5, dim=4, group="g").collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.id))
+    for i in range(13):
+        same = [j for j in np.argsort(-s[i]).tolist() if j % 3 == i % 3]
+        assert [x for _, x in sorted(got[i])] == same[:5]
+    with pytest.raises(Exception, match="components"):
+        retrieval.vector_top_k(q, b, 5, dim=3).collect()
+
+
+def test_bm25_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 3)
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefgh") + "x" for _ in range(rnd.randint(1, 12))) for _ in range(40)]
+    post = retrieval.postings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    stats = retrieval.term_statistics(post).cache()
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["ax bx", "cx", "ax ax hx", "zz", "dx ex fx gx"])], "qid long, query string")
+    idf = {r.term: (r.idf, r.avgdl) for r in stats.collect()}
+    want = {}
+    for q, t in asked.collect():
+        for d, text in enumerate(texts):
+            w = text.split()
+            hit = [x for x in t.split() if x in w]
+            if hit:
+                gain = sum(idf[x][0] * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / idf[x][1])) for x in hit)
+                want.setdefault(q, []).append((-round(gain, 9), d))
+    got = {}
+    for r in retrieval.bm25_top_k(asked, post, stats, 4).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.doc, r.score))
+    for q, hits in want.items():
+        best = [(d, -s) for s, d in sorted(hits)[:4] if -s > 0]
+        assert [(d, pytest.approx(s, abs=1e-8)) for _, d, s in sorted(got.get(q, []))] == best
+    assert "zz" not in idf and 3 not in got
 
 
 def test_adaptive_weights_equal_the_sequence(spark, monkeypatch):
