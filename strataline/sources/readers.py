@@ -50,7 +50,7 @@ def checked_lines(lines: DataFrame, first: str, required: list[str], valid: Colu
     ``valid`` may read ``fields``, a map from column to text. The table of
     headers has one row per file.
     """
-    head = F.col("value").startswith(first + ",")
+    head = (F.col("value") == first) | F.col("value").startswith(first + ",")
     headers = lines.filter(head).groupBy(file).agg(F.min("value").alias("_h"))
     rows = lines.filter(~head).join(headers, file, "left").withColumn("_n", F.split("_h", ","))
     # A line may have more or fewer fields than its header: surplus ones are dropped, missing ones are null.

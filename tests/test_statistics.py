@@ -3,11 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataline import session
 from strataline.functions import effects, stats
-from strataline.operators import bias, meta, reports, sensitivity
+from strataline.operators import bias, meta, reports, scale, sensitivity
+from strataline.sources import readers
 
 
 def integrate(f, a, b, n=20000):
@@ -136,3 +139,70 @@ def test_effect_conversions(spark):
     r = spark.range(1).select(effects.d_to_log_odds(F.lit(1.0)).alias("a"), effects.log_odds_ratio(F.lit(0), F.lit(10), F.lit(5), F.lit(5)).alias("b"),
                               effects.risk_ratio_to_log_odds(F.lit(20.0), F.lit(0.1)).alias("c")).first()
     assert r.a == pytest.approx(1.8138, abs=1e-4) and r.b == pytest.approx(math.log((5.5 / 5.5) / (0.5 / 10.5))) and r.c is None
+
+
+def _t_tail(t, df):
+    """Two-sided p-value by the finite sums for whole degrees of freedom."""
+    th, c2 = math.atan(t / math.sqrt(df)), 1 / (1 + t * t / df)
+    s = p = 1.0
+    if df % 2:
+        for k in range(1, (df - 3) // 2 + 1):
+            p *= c2 * 2 * k / (2 * k + 1)
+            s += p
+        return 1 - 2 / math.pi * (th + (math.sin(th) * math.cos(th) * s if df > 1 else 0))
+    for k in range(1, (df - 2) // 2 + 1):
+        p *= c2 * (2 * k - 1) / (2 * k)
+        s += p
+    return 1 - math.sin(th) * s
+
+
+def test_distributions_at_many_degrees_of_freedom():
+    df = np.array([1.0, 2, 3, 10, 199, 200, 201, 202, 1_000, 5_001, 100_000])
+    for t in (0.0, 0.3, 1.0, 1.72, 1.75, 2.5, 5.0):
+        got = stats.student_p(np.full(len(df), t), df)
+        assert got == pytest.approx([_t_tail(t, int(n)) for n in df], abs=1e-11)
+    for n in (2, 4, 200, 202, 1_000, 5_000):
+        for share in (0.05, 0.9, 1.0, 1.1, 2.0):
+            x = n * share
+            want = sum(math.exp(-x / 2 + k * math.log(x / 2) - math.lgamma(k + 1)) for k in range(n // 2))
+            assert stats.chi_square_q(np.array([x]), np.array([float(n)]))[0] == pytest.approx(want, abs=1e-11)
+    q = stats.student_quantile(df, 0.95)
+    assert q == pytest.approx([12.70620474, 4.30265273, 3.18244631, 2.22813885, 1.97195654, 1.97189622, 1.97183647, 1.97177728, 1.96233908, 1.96043856, 1.95998771], abs=2e-7)
+    assert stats.student_p(q, df) == pytest.approx([0.05] * len(df), abs=1e-11)
+    assert np.isnan(stats.student_p(np.array([1.0, np.nan]), np.array([0.0, 5.0]))).all()
+    assert stats.chi_square_q(np.array([0.0, np.inf, 1e8]), np.array([3.0, 3.0, 1e8])) == pytest.approx([1, 0, 0.49998], abs=1e-5)
+
+
+class _Cluster:
+    """A session on a cluster that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_shared_folder(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(_Cluster)
+    _Cluster.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        session.shared_folder(_Cluster)
+    table = scale.settle(spark.range(3))
+    assert table.count() == 3 and session.forget_intermediates(spark) >= 1
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(table.inputFiles()[0])
+
+
+def test_files_and_headers(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([("a", "1", "x")], "study_id string, n string, g string").write.mode("append").option("header", True).partitionBy("g").csv(folder)
+    spark.createDataFrame([("a", "y")], "study_id string, g string").write.mode("append").option("header", True).partitionBy("g").csv(folder)
+    spark.createDataFrame([("torn", "z")], "value string, g string").write.mode("append").partitionBy("g").text(folder)
+    lines = readers.file_lines(spark, folder).withColumn("source_file", F.regexp_extract("path", "g=([^/]+)/", 1))
+    rows = readers.status_report(readers.checked_lines(lines, "study_id", ["n"], F.col("fields")["n"].cast("int") > 1)).collect()
+    assert {(r.source_file, r.rows, r.valid_rows, r.status) for r in rows} == {("x", 1, 0, "Warning"), ("y", 1, 0, "Error"), ("z", 1, 0, "Error")}
+    found = readers.experiment_files(spark, folder, "*.{csv,txt}").collect()
+    assert len(found) == 3 and {r.suffix for r in found} == {".csv", ".txt"}
