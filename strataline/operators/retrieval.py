@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons
 from ..functions.text import any_hit, count_hits, head, tokens, words
-from .scale import blocked, numbered
+from .scale import blocked, numbered, settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of a block of vectors, of documents and of queries: they bound what a task holds.
@@ -68,8 +68,8 @@ def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, q
     shuffled, and a term found in a third of all documents is spread over all
     blocks. Only terms that are asked for leave the postings.
     """
-    asked = queries.select(F.col(qid).cast("long").alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(
-        F.count(F.lit(1)).alias("qtf")).join(stats.select("term", "idf"), "term")
+    asked = settle(queries.select(F.col(qid).cast("long").alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(
+        F.count(F.lit(1)).alias("qtf")).join(stats.select("term", "idf"), "term"))
     length = stats.agg(F.first("avgdl").alias("avgdl"))  # one row
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     wanted = post.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(length), F.lit(True)).select(

@@ -36,9 +36,9 @@ def query_set(t):
 
 
 def index(t):
-    """Postings feed the statistics and the scores, so they are written once."""
+    """Postings feed the statistics and the scores, and statistics feed every score, so both are written once."""
     post = settle(re_.postings(t.documents))
-    return post, re_.term_statistics(post)
+    return post, settle(re_.term_statistics(post))
 
 
 @query("r1_bm25_index", f"SELECT term, df, {sql6('idf', 'avgdl')} FROM bm_stats")
