@@ -142,7 +142,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 def op8_near_dedup(spark, sf_dir):
     from .setsketch import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 def _license_oracle() -> str:

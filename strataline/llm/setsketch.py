@@ -16,7 +16,7 @@ from .components import components
 from .encode import runs
 
 #: Registers (a prime, so that every element visits all of them in an order of its own), and how they are banded.
-#: Two sets of similarity 0.85 share no band of five registers with a probability of (1 - 0.85^5)^25 = 4e-7.
+#: Two sets of similarity 0.85 share no band of five registers with a probability of (1 - 0.85^5)^25 = 4e-7; at 0.8 it is 5e-5.
 REGISTERS, BANDS, BAND = 127, 25, 5
 #: Base and rate of the register scale.
 BASE, RATE = 1.001, 20.0
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return joined.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, columns unchanged; rows without a doc_id stay."""
     gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_nd_doc")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_nd_doc"), "left_anti")

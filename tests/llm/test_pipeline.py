@@ -6,7 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
-from helpers import near_components
+from helpers import frame, near_components
 from test_lines_mixing_licenses import kept_lines
 from test_search_tokens_packing import BYTE, library_ids
 
@@ -39,3 +39,14 @@ def test_stages_and_run(spark):
     assert sum(r.length for r in rows) == sum(n * (len(ids[d]) + 1) for d, n in times.items())
     assert all(r.ids_crc32 == zlib.crc32(np.array([*ids[r.doc_id], 0][r.start:r.start + r.length], "<u4").tobytes()) for r in rows)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").distinct().collect()))
+
+
+def test_near_stage_links_from_80_percent(spark):
+    """Pairs that differ in one word: 45 of 55 shingles shared (0.818), 39 of 49 (0.796) and 95 of 105 (0.905)."""
+    texts = []
+    for name, n in (("a", 54), ("b", 48), ("c", 104)):
+        base = [f"{name}{k}" for k in range(n)]
+        texts += [" ".join(base), " ".join([*base[:20], "other", *base[21:]])]
+    near = dict(corpus_pipeline.STAGES)["near dedup"](spark, frame(spark, texts), SF)
+    roots = near_components(list(enumerate(texts)), percent=80)
+    assert {r.doc_id for r in near.collect()} == {d for d, r in roots.items() if d == r} == {0, 2, 3, 4}
