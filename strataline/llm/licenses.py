@@ -97,6 +97,13 @@ RULES: list[tuple[str, list[str]]] = [
 
 #: A sentence ends at these marks when white space follows, and at a blank line; ``CUT`` marks the places.
 END, CUT = r"([.!?;])[\x09-\x0D\x20]+|\n[\x09-\x0D\x20]*\n", "\x01"
+#: For texts in comment blocks: a line without a letter or digit is as good as a blank one, and a copyright line is a sentence of its own.
+BLOCK_END = r"([.!?;])[\x09-\x0D\x20]+|\n[\x09-\x0D\x20-/:-@\x5B-`{-~]*\n"
+COPYRIGHT = r"(?im)^([\x09\x20-/:-@\x5B-`{-~]*(?:copyright[\x09\x20:]*(?:\(c\)|\u00A9|[0-9]{4}|by\b)|\u00A9|\(c\)[\x09\x20]*(?:copyright|[0-9]{4}))[^\n]*)$"
+#: The clause on names holds whatever name stands there; a name with a full stop leaves the clause's end as a sentence.
+NAMED, ANYONE = "^(?:neither the name of .* )?nor the names of its contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"
+#: Rules after the others, for a notice whose grant is worded or cut in another way. Warranty and liability alone also stand in other licences.
+PARTIAL: list[tuple[str, list[str]]] = [("MIT", ["mit-notice", "mit-warranty", "mit-liability"])]
 
 
 def normal(sentence: str) -> str:
@@ -110,6 +117,7 @@ KEYS = {normal(s): name for name, s in SENTENCES.items()}
 def _recognised(sentences: Column) -> Column:
     """The identifiers of the known ones among sentences, in order, as one string <a><b>."""
     keys = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    keys = F.transform(keys, lambda k: F.when(F.contains(k, F.lit("nor the names of its contributors")), F.regexp_replace(k, NAMED, ANYONE)).otherwise(k))
     known = F.filter(keys, lambda k: k.isin(*KEYS))
     name = F.create_map(*[F.lit(x) for pair in KEYS.items() for x in pair])
     return F.array_join(F.transform(known, lambda k: F.concat(F.lit("<"), F.element_at(name, k), F.lit(">"))), "")
@@ -123,7 +131,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     that wrapped notices are whole, and with every line for itself, so that a
     notice below a title is found. Sentences are reduced to letters and digits
     and looked up among the known ones; the runs of identifiers are then
-    matched by the rules in order. Either cut may state a licence.
+    matched by the rules in order. A third cut, for ``licenses`` alone, reads
+    comment blocks: lines of comment marks end sentences, and copyright lines
+    stand for themselves. Any cut may state a licence.
 
     Whole texts are read. A null or empty text has no licence. Rows that repeat
     a doc_id (or have none) are scanned each for itself, in place: nothing is
@@ -132,12 +142,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = F.regexp_replace(text, END, "$1" + CUT)
     kept = [c for c in docs.columns if c not in ("licenses", "sentence_ids", "line_sentence_ids")]
-    out = docs.select(*kept, _recognised(F.split(cut, CUT)).alias("sentence_ids"), _recognised(F.split(F.regexp_replace(text, END + r"|\n", "$1" + CUT), CUT)).alias("line_sentence_ids"))
+    out = docs.select(*kept, _recognised(F.split(cut, CUT)).alias("sentence_ids"), _recognised(F.split(F.regexp_replace(text, END + r"|\n", "$1" + CUT), CUT)).alias("line_sentence_ids"),
+                      _recognised(F.split(F.regexp_replace(F.regexp_replace(text, COPYRIGHT, "$1" + CUT), BLOCK_END, "$1" + CUT), CUT)).alias("_block_ids"))
 
     def stated(ids: Column) -> Column:
         """Names of the rules that match, each on what those before have left."""
         rest, names = ids, []
-        for name, run in RULES:
+        for name, run in RULES + PARTIAL:
             pattern = "".join(f"<{i}>" for i in run)
             names.append(F.when(F.contains(rest, F.lit(pattern)), F.lit(name)))
             rest = F.replace(rest, F.lit(pattern), F.lit(""))
@@ -146,13 +157,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
     def found(ids: Column) -> Column:
         return F.when(ids == "", F.array().cast("array<string>")).otherwise(stated(ids))
 
-    union = F.array_union(found(F.col("sentence_ids")), found(F.col("line_sentence_ids")))
+    union = F.array_union(F.array_union(found(F.col("sentence_ids")), found(F.col("line_sentence_ids"))), found(F.col("_block_ids")))
     order = list(dict.fromkeys(name for name, _ in RULES))
-    return out.withColumn("licenses", F.array_join(F.array_intersect(F.array(*map(F.lit, order)), union), ","))
+    return out.withColumn("licenses", F.array_join(F.array_intersect(F.array(*map(F.lit, order)), union), ",")).drop("_block_ids")
 
 
 def oracle() -> str:
-    """The scan as DuckDB SQL."""
+    """The scan as DuckDB SQL, without what comment blocks, other names in the BSD clause and PARTIAL add."""
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 

@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 from collections import defaultdict
 
 import pytest
@@ -102,3 +103,22 @@ def test_license_rules(spark):
     assert normal("  The (MIT)\nLicense! ") == "the mit license"
     assert license_scan(frame(spark, ["Released under the MIT License."] * 2, ids=[None, None])).select("licenses").collect() == [("MIT",), ("MIT",)]
     assert license_scan(frame(spark, texts).limit(0)).collect() == []
+
+
+def test_license_headers_in_comment_blocks(spark):
+    """A licence is found behind each comment mark, below a copyright line and with any name in the BSD clause."""
+    def wrapped(mark, *parts, width=70):
+        lines = [line for part in parts for line in [*textwrap.wrap(part, width), ""]]
+        return "\n".join(f"{mark} {x}".rstrip() if mark else x for x in lines)
+
+    mit = [SENTENCES[i] for i in ("mit-grant", "mit-notice")] + [SENTENCES["mit-warranty"] + " " + SENTENCES["mit-liability"]]
+    bsd = [SENTENCES["bsd-grant"], "1. " + SENTENCES["bsd-source"], "2. " + SENTENCES["bsd-binary"]]
+    clause = lambda name: "3. " + SENTENCES["bsd-names"].replace("the copyright holder", name)
+    owner = "Copyright (c) 2020 Foo"
+    texts = [wrapped(mark, owner, *mit) for mark in (" *", "#", "//", "")]
+    texts += ["/*\n" + wrapped(" *", owner, *mit) + "\n */\nint x;", owner + "\n" + wrapped("", *mit), f"# {owner}\n# Copyright 2021 Bar\n" + wrapped("#", *mit)]
+    texts += [wrapped("#", owner, "Permission to use is granted to all:", *mit[1:])]
+    texts += [wrapped(mark, owner, *bsd, clause(name)) for mark in ("", " *") for name in ("the copyright holder", "the University of Foo", "Foo, Inc.")]
+    texts += [wrapped("//", owner, *bsd), wrapped("#", owner, SENTENCES["isc-grant"]), wrapped("#", owner, *mit[2:]), "Neither the name of Foo nor the names of its contributors matter."]
+    rows = license_scan(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.licenses for r in rows] == ["MIT"] * 8 + ["BSD-3-Clause"] * 6 + ["BSD-2-Clause", "ISC", "", ""]
