@@ -8,18 +8,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
 from .encode import runs
 
 #: Subwords are byte strings of these lengths inside <word>.
 GRAMS = (2, 3, 4, 5)
 BUCKETS = 1 << 16
-#: Languages that a model can have; further ones (the rarest) are not learned. It bounds the model that is sent out to 16 MB.
-MAX_LANGUAGES = 64
 #: Labelled texts per language that the classifier is fitted on (about; drawn by a hash of doc_id), a fourth of them for calibration.
 SAMPLE = 400
+#: Beyond so many languages each has fewer of the texts, so that their number stays; LEAST are drawn of any (or all that it has).
+FULL_SAMPLES, LEAST = 64, 8
+#: Numbers in a matrix of texts and languages that is worked on at a time.
+CELLS = 2_000_000
 #: A worker's table of word scores is dropped when it holds more words.
 KNOWN_WORDS = 400_000
 NONE = "und"
@@ -51,7 +54,8 @@ def word_list(text: str | None) -> list[bytes]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # (BUCKETS, languages): embeddings times output weights
+    vectors: np.ndarray  # (BUCKETS, columns): embeddings, or embeddings times output weights if there are no more languages than dimensions
+    weights: np.ndarray  # (languages, columns): output weights, or ones on the diagonal
     sharpness: float  # what the softmax's input is multiplied with, from calibration
     floor: float  # scores below it are rejected
 
@@ -61,6 +65,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _row_blocks(n: int, columns: int) -> list[tuple[int, int]]:
+    step = max(1, CELLS // max(1, columns))
+    return [(i, min(n, i + step)) for i in range(0, n, step)]
+
+
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], held: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], dim: int = 16,
           epochs: int = 8, rate: float = 2.0, reject: float = 0.005, seed: int = 7) -> Model:
     """Fit on bags (language, buckets, counts); calibrate sharpness and rejection on ``held``.
@@ -86,14 +95,25 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], held: list[tuple[int,
             weights -= step * np.outer(error, hidden)
             vectors[buckets] -= step * share[:, None] * back
             done += 1
-    scores = (vectors @ weights.T).astype(np.float32)
+    if len(languages) <= dim:
+        vectors, weights = vectors @ weights.T, np.eye(len(languages))
+    vectors = vectors.astype(np.float32)
     held = held or bags
-    z = np.array([(c / c.sum()) @ scores[b] for _, b, c in held]) if held else np.zeros((0, max(1, len(languages))))
+    if not held:
+        return Model(languages, vectors, weights, 1.0, 0.0)
+    x = np.array([(c / c.sum()) @ vectors[b] for _, b, c in held])
     y = np.array([k for k, _, _ in held], dtype=np.int64)
-    best = min(np.geomspace(0.05, 20, 60), key=lambda s: float(-np.log(_softmax(s * z)[np.arange(len(y)), y] + 1e-12).sum())) if len(y) else 1.0
-    p = _softmax(best * z)
-    right = p.max(axis=1)[p.argmax(axis=1) == y] if len(y) else np.zeros(0)
-    return Model(languages, scores, float(best), float(np.quantile(right, reject)) if len(right) else 0.0)
+
+    def loss(s: float) -> float:
+        return sum(float(-np.log(_softmax(s * (x[i:j] @ weights.T))[np.arange(j - i), y[i:j]] + 1e-12).sum()) for i, j in _row_blocks(len(y), len(languages)))
+
+    best = min(np.geomspace(0.05, 20, 60), key=loss)
+    right = []
+    for i, j in _row_blocks(len(y), len(languages)):
+        p = _softmax(best * (x[i:j] @ weights.T))
+        right.append(p.max(axis=1)[p.argmax(axis=1) == y[i:j]])
+    right = np.concatenate(right)
+    return Model(languages, vectors, weights, float(best), float(np.quantile(right, reject)) if len(right) else 0.0)
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -104,20 +124,21 @@ def _held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of documents whose :func:`_held_out` isn't 1.
 
-    Languages are counted over all such documents. Of each, about ``sample``
-    texts are drawn by a hash of doc_id; tasks turn them, and three short spans
-    of each (so that short texts are learned too), into bags of buckets, and
-    only these bags reach the driver.
+    Languages are counted over all such documents that have a word, and all are
+    learned. Of each, about ``sample`` texts (fewer beyond FULL_SAMPLES languages,
+    one at least) are drawn by a hash of doc_id; tasks turn them, and three
+    short spans of each (so that short texts are learned too), into bags of
+    buckets, and only these bags reach the driver.
     """
-    rows = docs.filter((_held_out(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not counts:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), 1.0, 0.0)
-    languages = sorted(name for name, _ in counts)
+    rows = docs.filter((_held_out(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\S"))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    chosen = F.lit(False)
-    for name, n in counts:
-        chosen = chosen | ((F.col("lang") == name) & (draw < 1.2 * sample / n))
+    counts = settle(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_lid_n"), F.min(draw).alias("_lid_first")))
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)), 1.0, 0.0)
+    sample = min(sample, max(LEAST, FULL_SAMPLES * sample // len(languages)))
+    chosen = (draw < 1.2 * sample / F.col("_lid_n")) | (draw == F.col("_lid_first"))
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang")
     kinds = pa.schema([("place", pa.float64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +160,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     bags = rows.filter(chosen).select(draw.alias("place"), F.col("doc_id").cast("long"), "lang", "text").mapInArrow(
         work, "place double, doc_id long, lang string, buckets binary, counts binary")
-    got = bags.orderBy("place", "doc_id", "lang", "buckets").limit(8 * sample * len(languages)).collect()
+    # A doc_id that many rows repeat fills the sample of its own language alone.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "buckets"))
+    got = bags.withColumn("rank", rank).filter(F.col("rank") <= 8 * sample).drop("rank").collect()
+    got.sort(key=lambda r: (r["place"], r["doc_id"], r["lang"], bytes(r["buckets"])))
     number = {name: k for k, name in enumerate(languages)}
     sets: tuple[list, list] = ([], [])
     for r in got:
         sets[r["doc_id"] % 4 == 3].append((number[r["lang"]], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4")))
-    return train(sets[0] or sets[1], sets[1], languages)
+    trained = {k for k, _, _ in sets[0]}
+    sets[0].extend(bag for bag in sets[1] if bag[0] not in trained)
+    return train(sets[0], sets[1], languages)
 
 
 class Judge:
@@ -153,7 +179,7 @@ class Judge:
     def __init__(self, model: Model):
         self.model = model
         self.place: dict[bytes, int] = {}
-        self.sums = np.zeros((0, model.scores.shape[1] + 1))
+        self.sums = np.zeros((0, model.vectors.shape[1] + 1))
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.place) > KNOWN_WORDS:
@@ -164,8 +190,8 @@ class Judge:
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         who, what = subwords(new)
         rows = np.empty((len(new), self.sums.shape[1]))
-        for k in range(self.model.scores.shape[1]):
-            rows[:, k] = np.bincount(who, self.model.scores[what, k], len(new))
+        for k in range(self.model.vectors.shape[1]):
+            rows[:, k] = np.bincount(who, self.model.vectors[what, k], len(new))
         rows[:, -1] = np.bincount(who, minlength=len(new))
         self.sums = np.concatenate([self.sums, rows])
 
@@ -180,8 +206,11 @@ class Judge:
         if len(full):
             begins = (np.cumsum(sizes) - sizes)[full]
             sums[full] = np.add.reduceat(self.sums[at], begins, axis=0)
-        p = _softmax(self.model.sharpness * sums[:, :-1] / np.maximum(sums[:, -1:], 1))
-        names, score = p.argmax(axis=1), p.max(axis=1)
+        x = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        names, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for i, j in _row_blocks(len(texts), len(self.model.weights)):
+            p = _softmax(self.model.sharpness * (x[i:j] @ self.model.weights.T))
+            names[i:j], score[i:j] = p.argmax(axis=1), p.max(axis=1)
         known = [bool(self.model.languages) and bool(t) and any(map(str.isalpha, t)) for t in texts]
         langs = [self.model.languages[k] if ok else NONE for k, ok in zip(names.tolist(), known)]
         scores = np.where(known, np.clip(score, 0, 1), 0.0)
@@ -191,7 +220,7 @@ class Judge:
 def _judged(docs: DataFrame, sample: int) -> DataFrame:
     """``docs`` plus ``_lid``, a struct of lang_pred, score and accepted."""
     model = fit(docs, sample)
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.sharpness, model.floor))
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.vectors, model.weights, model.sharpness, model.floor))
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

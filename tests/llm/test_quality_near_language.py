@@ -124,3 +124,20 @@ def test_language_identification(spark):
     unlabelled = langid.identify(docs.limit(5).withColumn("lang", docs.lang.cast("string").substr(0, 0)).selectExpr("doc_id", "text", "cast(null as string) lang", "'x' score"))
     assert [(r.lang_pred, r.accepted) for r in unlabelled.collect()] == [("und", False)] * 5
     assert langid.identify(docs.limit(0)).collect() == []
+
+
+def test_all_languages_are_learned(spark):
+    """70 languages, each with words of its own; the last has one labelled text, for calibration (doc_id % 4 is 3) and outside the held-out part."""
+    rng = np.random.default_rng(5)
+    texts, langs, ids = [], [], []
+    last = next(d for d in range(10_003, 20_000, 4) if zlib.crc32(str(d).encode()) % 3 != 1)
+    for k in range(70):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:6]
+        own = ["".join(rng.choice(letters, 6)) + f"{k:02d}" for _ in range(12)]
+        for d in range(20 if k < 69 else 1):
+            texts.append(" ".join(rng.choice(own, 40)))
+            langs.append(f"l{k:02d}")
+            ids.append(len(ids) if k < 69 else last)
+    rows = langid.identify(frame(spark, texts, ids=ids, langs=langs)).collect()
+    assert {r.lang for r in rows} == {r.lang_pred for r in rows}
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
