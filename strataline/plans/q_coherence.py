@@ -86,8 +86,8 @@ def _(t):
 cte("lex", f"SELECT story, chapter, {TOK.format('text')} AS g, {TOK.format('concat_ws(chr(32), method, ref)')} AS r FROM prev3")
 BIG = lambda x: f"list_distinct(list_transform(range(1,len({x})), lambda i: {x}[i]||' '||{x}[i+1]))"
 # Longest common subsequence as the longest rising run of places in r, over the words of g: the ends of the best runs are kept in order.
-PLACES = "flatten(list_transform(g, lambda w: list_reverse_sort(list_filter(range(1,len(r)+1), lambda j: r[j]=w))))"
-LCS = f"len(list_reduce(list_concat([[]::BIGINT[]], list_transform({PLACES}, lambda j: [j])), lambda ends, j: list_concat(list_concat(list_filter(ends, lambda e: e<j[1]), j), list_slice(list_filter(ends, lambda e: e>=j[1]), 2, len(ends)))))"
+SPOTS = "flatten(list_transform(g, lambda w: list_reverse_sort(list_filter(range(1,len(r)+1), lambda j: r[j]=w))))"
+LCS = f"len(list_reduce(list_concat([[]::BIGINT[]], list_transform({SPOTS}, lambda j: [j])), lambda ends, j: list_concat(list_concat(list_filter(ends, lambda e: e<j[1]), j), list_slice(list_filter(ends, lambda e: e>=j[1]), 2, len(ends)))))"
 cte("lexical", f"""SELECT story, chapter, 0.3*len(list_intersect(list_distinct(g),list_distinct(r)))/greatest(1,len(list_distinct(g)))+0.3*CASE WHEN len(g)>1 THEN len(list_intersect({BIG('g')},{BIG('r')}))/greatest(1,len({BIG('g')})) ELSE 0 END AS overlap, g, r FROM lex""")
 
 
