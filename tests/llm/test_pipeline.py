@@ -29,7 +29,7 @@ def test_stages_and_run(spark):
     want = kept_lines([(r.doc_id, r.text) for r in named.collect()])
     assert sorted(((r.doc_id, r.text) for r in thin.collect()), key=str) == sorted([(d, t) for d, _, _, t in want], key=str)
     near = steps["near dedup"](spark, thin, SF).cache()
-    roots = near_components([(r.doc_id, r.text) for r in thin.collect()])
+    roots = near_components([(r.doc_id, r.text) for r in thin.collect()], percent=80)
     assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == {d for d, r in roots.items() if d == r}
     mixed = steps["mixing"](spark, near, SF).cache()
     times = {r.doc_id: r.times for r in mix_plan(near).collect()}
