@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import settle, worker_state
 
-#: Words of an edge; hash buckets of the filter (a bitmap of 8 MB, whatever the input); bytes of text that a task takes at once; words a worker remembers.
-LONGEST, BUCKETS_LOG2, CHUNK, KNOWN_WORDS = 5, 26, 4_000_000, 1_000_000
+#: Words of an edge; hash buckets of the filter (a bitmap of 8 MB, whatever the input); bytes of text that a task takes at once; words that a worker
+#: remembers, and bucket numbers and edges that a task sums before it sends them.
+LONGEST, BUCKETS_LOG2, CHUNK, KNOWN_WORDS, HELD_BUCKETS, HELD_GRAMS = 5, 26, 4_000_000, 600_000, 12_000_000, 400_000
 # Characters that end a piece, besides line feed to carriage return.
 PIECE_ENDS = ".,;:!?"
 
@@ -60,7 +61,8 @@ def _known() -> _Words:
 def _codes(texts: list[bytes], words: _Words) -> np.ndarray:
     """Word numbers of texts of UTF-8 bytes; piece ends are ``_END``."""
     plain = b"\n".join(texts).translate(_TABLE).replace(b"\n", b" \n ")
-    codes = np.array(list(map(words.__getitem__, plain.split(b" "))), np.int64)
+    parts = plain.split(b" ")
+    codes = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
     return codes[codes != _EMPTY]
 
 
@@ -98,19 +100,22 @@ def _bucket_counts(texts: DataFrame) -> DataFrame:
     """(bucket, c): occurrences of the words and pairs of neighbours of each bucket, summed by task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(counts)], ["bucket", "c"])
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            buckets, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(counts)], ["bucket", "c"])
+
         for _, salt, codes, words in _chunks(batches):
             one, two = _buckets(words.hashes(codes), salt)
             real = codes != _END
-            found, n = np.unique(np.concatenate([one[real], two[real[:-1] & real[1:]]]).astype(np.int32), return_counts=True)
-            every = np.concatenate([buckets, found])
-            buckets, back = np.unique(every, return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), len(buckets)).astype(np.int64)
-            if len(buckets) > 4_000_000:
+            held += [one[real].astype(np.int32), two[real[:-1] & real[1:]].astype(np.int32)]
+            size += len(held[-2]) + len(held[-1])
+            if size > HELD_BUCKETS:
                 yield batch()
-                buckets, counts = buckets[:0], counts[:0]
-        yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
 
     return texts.mapInArrow(work, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
 
@@ -164,8 +169,14 @@ def edges(texts: DataFrame, least: int) -> DataFrame:
     bits = texts.sparkSession.sparkContext.broadcast(_bitmap(texts, least))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes, int], int] = {}
+
+        def batch() -> pa.RecordBatch:
+            langs, grams, ks = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(ks, pa.int32()), pa.array(held.values(), pa.int64())], ["lang", "gram", "k", "c"])
+
         for lang, salt, codes, words in _chunks(batches):
-            out = [(b"", 0, int((codes != _END).sum()))]
+            held[lang, b"", 0] = held.get((lang, b"", 0), 0) + int((codes != _END).sum())
             one, two = _buckets(words.hashes(codes), salt)
             often = lambda b: (bits.value[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
             able = (often(one) == 1) & (codes != _END)
@@ -177,9 +188,14 @@ def edges(texts: DataFrame, least: int) -> DataFrame:
                 reach += on
             for k, places, n in _stumps(codes, reach, len(words.names)):
                 rows = codes[places[:, None] + np.arange(k)].tolist()
-                out += [(b" ".join(map(words.names.__getitem__, r)), k, c) for r, c in zip(rows, n.tolist())]
-            grams, ks, cs = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(ks, pa.int32()), pa.array(cs, pa.int64())], ["lang", "gram", "k", "c"])
+                for row, c in zip(rows, n.tolist()):
+                    key = lang, b" ".join(map(words.names.__getitem__, row)), k
+                    held[key] = held.get(key, 0) + c
+            if len(held) > HELD_GRAMS:
+                yield batch()
+                held.clear()
+        if held:
+            yield batch()
 
     return settle(texts.mapInArrow(work, "lang string, gram string, k int, c long").groupBy("lang", "gram", "k").agg(F.sum("c").alias("c")))
 
