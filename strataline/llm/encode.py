@@ -2,20 +2,65 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_state
 
 #: A worker forgets its pieces when it holds more; results don't depend on it.
-KNOWN_PIECES = 800_000
+KNOWN_PIECES = 1_000_000
 #: Texts are encoded in runs of about this many characters, whatever the size of an Arrow batch.
 RUN_CHARS = 2_000_000
+#: The same where only ids are made: longer runs see fewer pieces twice.
+ENCODE_CHARS = 6_000_000
 
 _ODD = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
+#: Letters or digits (of Latin, where Python and the file's splitting rule agree on them), then punctuation to the end.
+_ENDED = re.compile(r"([0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([" + re.escape(string.punctuation) + "]+)", re.ASCII)
+
+
+class _Numbers(dict):
+    """Numbers for pieces as they come; new ones wait in ``new``."""
+
+    def __init__(self, counter):
+        self.counter, self.new = counter, []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = next(self.counter)
+        self.new.append((n, piece))
+        return n
+
+
+class _Pool:
+    """Ids of numbered pieces end to end, gathered for many pieces at once."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def put(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(numbers) and numbers.max() >= len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.begin[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.used += len(ids)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these pieces in order, length of each)."""
+        lengths = self.length[numbers]
+        ends = np.cumsum(lengths)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[numbers] - ends + lengths, lengths)
+        return self.ids[at], lengths
 
 
 class Encoder:
@@ -24,9 +69,12 @@ class Encoder:
     The file's own splitting rule binds a space to what follows it, and nothing
     before a space that precedes a visible character changes what follows. So a
     text may be cut before each such space and its pieces encoded one by one.
-    Pieces repeat a great deal; each new one goes to the library once. New
-    pieces are encoded together in one string: each starts with the one space
-    that it holds, and so do exactly the first tokens of each.
+    The rule also parts letters or digits from the punctuation that ends a
+    piece, and a line feed between two visible characters from both, so a new
+    piece of that form is put together from its parts. Parts repeat a great
+    deal; each new one goes to the library once, many in one string: each starts
+    with the one space that it holds, and so do exactly the first tokens of
+    each. Under a file with another splitting rule pieces are not parted.
     """
 
     def __init__(self, path: str):
@@ -38,39 +86,101 @@ class Encoder:
         self.tok.no_padding()
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _one_by_one(self, pieces: list[str], into: dict[str, bytes], lead: str) -> None:
-        for p, e in zip(pieces, self.tok.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False)):
-            into[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if " " not in p]
-        self._one_by_one([p for p in pieces if " " in p], self.known, " ")
-        for k in range(0, len(plain), 2_000):
-            some = plain[k:k + 2_000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(at) != len(some):
-                self._one_by_one(some, self.known, " ")
-                continue
-            raw = ids.tobytes()
-            for p, b, e in zip(some, at, [*at[1:], len(ids)]):
-                self.known[p] = raw[4 * b:4 * e]
+        rule = str(self.tok.pre_tokenizer)
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.parted = rule.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in rule and self.tok.normalizer is None and not any(map(_ENDED.fullmatch, special))
+        #: A piece of several lines with the first character of a special string goes to the library whole.
+        self.marks = re.compile("|".join(sorted(re.escape(t[0]) for t in special)) or "(?!)")
+        self._forget()
+
+    def _forget(self) -> None:
+        counter = itertools.count()
+        #: Pieces that follow a space, and those that don't.
+        self.after, self.first, self.pool = _Numbers(counter), _Numbers(counter), _Pool()
+        self.first[""] = next(counter)
+        self.pool.put(np.array([0]), np.array([0]), np.zeros(0, "<u4"))
+
+    def _from_library(self, pieces: list[tuple[int, str]], lead: str) -> None:
+        for k in range(0, len(pieces), 2_000):
+            some = pieces[k:k + 2_000]
+            numbers = np.array([n for n, _ in some])
+            if lead and not any(" " in p for _, p in some):
+                ids = np.array(self.tok.encode_batch_fast([" " + " ".join(p for _, p in some)], add_special_tokens=False)[0].ids, dtype="<u4")
+                at = np.flatnonzero(self.spaced[ids])
+                if len(at) == len(some):
+                    self.pool.put(numbers, np.diff(at, append=len(ids)), ids)
+                    continue
+            rows = [e.ids for e in self.tok.encode_batch_fast([lead + p for _, p in some], add_special_tokens=False)]
+            self.pool.put(numbers, np.array([len(r) for r in rows]), np.array([i for r in rows for i in r], dtype="<u4"))
+
+    def _parts(self, piece: str, numbers: _Numbers) -> list[int] | None:
+        """Numbers of the parts of a piece, or nothing if it has one part only."""
+        ended = _ENDED.fullmatch(piece)
+        if ended:
+            return [numbers[ended[1]], self.first[ended[2]]]
+        lines = piece.split("\n")
+        if len(lines) == 1 or lines != piece.split() or self.marks.search(piece):
+            return None
+        out = []
+        for k, line in enumerate(lines):
+            of = self.first if k else numbers
+            out += [self.first["\n"]] * (k > 0) + (self._parts(line, of) or [of[line]])
+        return out
+
+    def _learn(self) -> None:
+        """Ids of all new pieces; the parts of a piece are pieces of one part, and new ones among them come behind."""
+        joined = []
+        for numbers, lead in ((self.after, " "), (self.first, "")):
+            whole = []
+            for n, piece in numbers.new:
+                parts = None if not self.parted or piece.isalnum() else self._parts(piece, numbers)
+                if parts:
+                    joined.append((n, parts))
+                else:
+                    whole.append((n, piece))
+            numbers.new.clear()
+            plain = [x for x in whole if " " not in x[1]]
+            self._from_library(plain, lead)
+            if len(plain) < len(whole):
+                self._from_library([x for x in whole if " " in x[1]], lead)
+        if joined:
+            ids, lengths = self.pool.get(np.fromiter(itertools.chain.from_iterable(p for _, p in joined), np.int64))
+            ends = np.cumsum(lengths)[np.cumsum([len(p) for _, p in joined]) - 1]
+            self.pool.put(np.array([n for n, _ in joined]), np.diff(ends, prepend=0), ids)
+
+    def _cut(self, text: str) -> tuple[np.ndarray, list[int]]:
+        """As :meth:`_numbered` for one text in which white space follows a space."""
+        head, *rest = _CUT.split(text)
+        return np.array([self.first[head], *map(self.after.__getitem__, rest)], np.int64), [len(rest) + 1]
+
+    def _numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pieces of all texts, how many each has); they are told apart before Python sees them."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        kinds = lists.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.after.__getitem__, kinds.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(kinds.dictionary))[np.asarray(kinds.indices)]
+        counts = np.asarray(lists.value_lengths(), np.int64)
+        numbers[np.cumsum(counts) - counts] = [self.first[t.partition(" ")[0]] for t in texts]
+        return numbers, counts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One value per text; a null text has no ids."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        self.heads.clear()
-        parts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
-        heads = [p.pop(0) if p else "" for p in parts]
-        self._one_by_one(list({h for h in heads if h}), self.heads, "")
-        self.heads[""] = b""
-        self._learn(sorted(set().union(*parts).difference(self.known)))
-        get = self.known.__getitem__
-        return [self.heads[h] + b"".join(map(get, p)) for h, p in zip(heads, parts)]
+        if len(self.after) > KNOWN_PIECES:
+            self._forget()
+        plain = [t or "" for t in texts]
+        odd = [bool(_ODD.search(t)) for t in plain]
+        order = sorted(range(len(plain)), key=odd.__getitem__)
+        if not plain:
+            return []
+        even = [plain[k] for k in order if not odd[k]]
+        rows = [self._numbered(even)] * bool(even) + [self._cut(plain[k]) for k in order if odd[k]]
+        self._learn()
+        ids, lengths = self.pool.get(np.concatenate([r[0] for r in rows]))
+        ends = 4 * np.cumsum(lengths)[np.cumsum(np.concatenate([r[1] for r in rows])) - 1]
+        raw, out, begin = ids.tobytes(), [b""] * len(plain), 0
+        for k, end in zip(order, ends.tolist()):
+            out[k] = raw[begin:end]
+            begin = end
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .encode import encoder, runs
+from .encode import ENCODE_CHARS, encoder, runs
 
 #: Open windows a partition holds; beyond it the open windows are cut anew into full ones.
 OPEN_WINDOWS = 4_096
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, wit
         enc, packer, base = encoder(tokenizer), Packer(size), TaskContext.get().partitionId() << 40
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in runs(texts):
+            for i, j in runs(texts, ENCODE_CHARS):
                 for doc, got in zip(ids[i:j], enc.encode(texts[i:j])):
                     packer.add(doc, got + end)
                 if packer.out:

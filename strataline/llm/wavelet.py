@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .encode import encoder, runs
+from .encode import ENCODE_CHARS, encoder, runs
 
 #: A shard is closed when it holds this many ids or more; documents are not divided.
 SHARD_IDS = 1 << 18
@@ -164,7 +164,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in runs(texts):
+            for i, j in runs(texts, ENCODE_CHARS):
                 for doc, got in zip(ids[i:j], enc.encode(texts[i:j])):
                     names.append(doc)
                     raw.append(got + end)
