@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .encode import ENCODE_CHARS, encoder, runs
 
-#: Open windows a partition holds; beyond it the open windows are cut anew into full ones.
-OPEN_WINDOWS = 4_096
+#: Windows that a partition keeps open; a piece that would open one more is cut to close one.
+OPEN_WINDOWS = 32
 
 
 class Packer:
@@ -23,17 +23,19 @@ class Packer:
     A piece goes to the fill level that makes the sum of the squared counts of
     open windows per level smallest (sum-of-squares rule); ``count`` is that
     level array. Documents longer than a window are cut into full windows and
-    one rest. Cutting is free, so what is still open at the end (or beyond
-    ``most`` open windows, which bounds memory) is joined and cut anew: full
-    windows, then one window per power of two of what is left, which needs no
-    padding.
+    one rest. When ``most`` windows are open and the rule asks for a new one,
+    the piece is cut to close a window, by the same rule: the level whose
+    closing lowers the sum most; what is left of the piece is put like any
+    other. So memory is bounded, and at most ``most`` windows are open at the
+    end. They are joined and cut into full windows, then one window per power
+    of two of what is left, which needs no padding.
     """
 
     def __init__(self, size: int = 1024, most: int = OPEN_WINDOWS):
         self.size, self.most = size, most
         self.count = np.zeros(size + 1, dtype=np.int64)
         self.open: list[list[list]] = [[] for _ in range(size + 1)]
-        self.n_open, self.n_closed = 0, 0
+        self.n_open, self.n_closed, self.by_rule = 0, 0, 0  # by_rule: tokens in windows that the rule has filled
         self.out: list[tuple] = []
 
     def _close(self, window: list) -> None:
@@ -44,10 +46,10 @@ class Packer:
             at += n
         self.n_closed += 1
 
-    def _level(self, n: int) -> int:
-        """The fill level for a piece of n tokens; 0 is a new window. Of equal ones the fullest."""
+    def _level(self, n: int, new: bool = True) -> int:
+        """The fill level for a piece of n tokens; 0 is a new window (or, without ``new``, no level). Of equal ones the fullest."""
         c, most = self.count, self.size
-        best, at = 2 * int(c[n]) + 1, 0
+        best, at = 2 * int(c[n]) + 1 if new else np.iinfo(np.int64).max - 1, 0
         if most - n > 1:
             here = c[1:most - n]
             change = np.where(here > 0, 2 * (c[n + 1:most] - here) + 2, np.iinfo(np.int64).max)
@@ -58,8 +60,21 @@ class Packer:
             at = most - n
         return at
 
+    def _closable(self, n: int) -> int:
+        """The level whose window a part of a piece of n tokens closes, with most windows on it; 0 if n is too small for all. Of equal ones the fullest."""
+        c = self.count[self.size - n + 1:self.size][::-1]
+        return self.size - 1 - int(np.argmax(c)) if len(c) and c.max() else 0
+
     def _put(self, piece: tuple, n: int) -> None:
-        at = self._level(n)
+        at, cut = self._level(n), 0
+        if not at and self.n_open >= self.most:
+            at = cut = self._closable(n)
+            at = at or self._level(n, new=False)  # what closes no window fits into any
+        rest = None
+        if cut:
+            doc, start, ids, total = piece
+            n = self.size - cut
+            piece, rest = (doc, start, ids[:4 * n], total), (doc, start + n, ids[4 * n:], total)
         if at:
             window = self.open[at].pop()
             self.count[at] -= 1
@@ -68,13 +83,14 @@ class Packer:
             window = []
         window.append(piece)
         if at + n == self.size:
+            self.by_rule += self.size
             self._close(window)
-            return
-        self.open[at + n].append(window)
-        self.count[at + n] += 1
-        self.n_open += 1
-        if self.n_open > self.most:
-            self._recut(last=False)
+        else:
+            self.open[at + n].append(window)
+            self.count[at + n] += 1
+            self.n_open += 1
+        if rest:
+            self._put(rest, len(rest[2]) // 4)
 
     def add(self, doc, ids: bytes) -> None:
         """One document with all its ids."""
@@ -85,16 +101,14 @@ class Packer:
         if whole < len(ids):
             self._put((doc, whole // 4, ids[whole:], total), (len(ids) - whole) // 4)
 
-    def _recut(self, last: bool) -> None:
+    def finish(self) -> None:
+        """Close what is open: full windows, then powers of two."""
         pieces = [p for level in self.open for window in level for p in window]
         rest = sum(len(p[2]) for p in pieces) // 4
         self.open = [[] for _ in range(self.size + 1)]
         self.count[:] = 0
         self.n_open = 0
-
-        def room() -> int:
-            return self.size if rest >= self.size else 1 << rest.bit_length() - 1 if last else rest
-
+        room = lambda: self.size if rest >= self.size else 1 << rest.bit_length() - 1
         window, free = [], room() if rest else 0
         for doc, start, ids, total in pieces:
             while ids:
@@ -103,18 +117,9 @@ class Packer:
                 n = len(part) // 4
                 ids, start, free, rest = ids[len(part):], start + n, free - n, rest - n
                 if not free:
-                    filled = sum(len(p[2]) for p in window) // 4
-                    if last or filled == self.size:
-                        self._close(window)
-                    else:
-                        self.open[filled].append(window)
-                        self.count[filled] += 1
-                        self.n_open += 1
+                    self._close(window)
                     window, free = [], room() if rest else 0
 
-    def finish(self) -> None:
-        self._recut(last=True)
-
     def take(self) -> list[tuple]:
         out, self.out = self.out, []
         return out

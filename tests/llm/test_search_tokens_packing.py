@@ -178,3 +178,16 @@ def test_pack_query(spark):
     assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.length * 4 == len(r.ids) and r.doc_tokens * 4 == len(want[r.doc_id]) for r in rows)
     assert pack(docs.limit(0), BYTE).collect() == []
     assert sum(r.length for r in pack(frame(spark, ["a", "a", None], ids=[4, 4, None]), BYTE).collect()) == 5
+
+
+def test_rule_fills_nearly_all_windows():
+    """Of the tokens beyond full windows, the sum-of-squares rule packs at least nine tenths; what is open at the end is the rest."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    packer = Packer()
+    ids = [raw + bytes(4) for raw in Encoder(BYTE).encode(texts)]
+    for k, raw in enumerate(ids):
+        packer.add(k, raw)
+        assert packer.n_open <= packer.most and packer.n_open == packer.count.sum() == sum(map(len, packer.open))
+    assert packer.by_rule >= 0.9 * sum(len(raw) // 4 % packer.size for raw in ids)
