@@ -21,7 +21,7 @@ from .common import settle, worker_state
 
 #: Words of an edge; hash buckets of the filter (a bitmap of 8 MB, whatever the input); bytes of text that a task takes at once; words that a worker
 #: remembers, and bucket numbers and edges that a task sums before it sends them.
-LONGEST, BUCKETS_LOG2, CHUNK, KNOWN_WORDS, HELD_BUCKETS, HELD_GRAMS = 5, 26, 4_000_000, 600_000, 12_000_000, 400_000
+LONGEST, BUCKETS_LOG2, CHUNK, KNOWN_WORDS, HELD_BUCKETS, HELD_GRAMS = 5, 26, 2_000_000, 300_000, 6_000_000, 200_000
 # Characters that end a piece, besides line feed to carriage return.
 PIECE_ENDS = ".,;:!?"
 
