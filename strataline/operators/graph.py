@@ -31,14 +31,32 @@ def undirected(edges: DataFrame) -> DataFrame:
     return out.unionByName(back).groupBy("node", "next").agg(F.max("direction").alias("direction"))
 
 
+def split(edges: DataFrame, node: str, ranges: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(edges with ``_part``, directory of (node, _part)): the edges of a node are dealt to ranges, a hub to as many as its degree asks for.
+
+    ``ranges`` per shuffle partition keep parts small against a partition. The
+    directory has one row per node and part, so a frontier that joins it goes
+    to every part of its hubs, and no task meets a hub whole.
+    """
+    rest = [c for c in edges.columns if c != node]
+    n = ranges * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settle(edges.repartitionByRange(n, F.col(node), *[F.col(c) for c in rest]).withColumn("_part", F.spark_partition_id()))
+    return parts, settle(parts.select(node, "_part").distinct())
+
+
+def expand(front: DataFrame, parts: DataFrame, directory: DataFrame, node: str) -> DataFrame:
+    """``front`` joined with the edges of its ``node``, part by part."""
+    return front.join(directory, node).join(parts, [node, "_part"]).drop("_part")
+
+
 def neighbourhood(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(start, node, hop, direction) of every node first reached at each hop, edges taken both ways."""
-    near = settle(undirected(edges))
+    """(start, node, hop, direction) of every node first reached at each hop, edges taken both ways; hubs are expanded in parts."""
+    near, directory = split(undirected(edges), "node")
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hop"), F.lit("").alias("direction"))
     front = seen
     for hop in range(1, hops + 1):
         # Distinct pairs are made before the anti join, so a node reached many ways counts once.
-        step = front.select("start", "node").join(near, "node").groupBy("start", F.col("next").alias("node")).agg(F.max("direction").alias("direction"))
+        step = expand(front.select("start", "node"), near, directory, "node").groupBy("start", F.col("next").alias("node")).agg(F.max("direction").alias("direction"))
         front = settle(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)).select("start", "node", "hop", "direction"))
         seen = seen.unionByName(front)
     return seen.filter("hop > 0")
@@ -107,30 +125,74 @@ def first_edges(edges: DataFrame) -> DataFrame:
     return best.select("src", "dst", F.coalesce("b.relation", F.lit("UNKNOWN")).alias("relation"), F.coalesce("b.strength", F.lit(0.5)).alias("strength"))
 
 
-def indirect_paths(starts: DataFrame, edges: DataFrame, hops: int = 3, least: float = 0.3) -> DataFrame:
-    """Simple paths of 2..hops edges with a strength product of at least ``least``.
+def best_ahead(edges: DataFrame, hops: int) -> DataFrame:
+    """(node, left, best): the greatest product of strengths of a walk of exactly ``left`` edges from a node, for 0 to ``hops`` edges.
 
-    The product can only fall (strengths are at most one), so weak prefixes are
-    cut before each hop.
+    Walks may repeat nodes, so the product of a simple path is never above it;
+    this holds for strengths of any size from 0.
     """
+    level = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("best", F.lit(1.0))
+    out = level.withColumn("left", F.lit(0))
+    for left in range(1, hops + 1):
+        # The greatest product per source is a partial maximum, so a hub sends one row per task.
+        level = settle(edges.join(level.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("strength") * F.col("best")).alias("best")))
+        out = out.unionByName(level.withColumn("left", F.lit(left)))
+    return out
+
+
+def _promising(edges: DataFrame, ahead: DataFrame, done: int, hops: int) -> DataFrame:
+    """(last, next, relation, strength, ahead) of edges taken as edge ``done`` of a path; ahead: the best product of what may follow its second node."""
+    least = max(0, 2 - done)
+    may = ahead.filter(F.col("left").between(least, hops - done)).groupBy(F.col("node").alias("next")).agg(F.max("best").alias("ahead"))
+    return edges.select(F.col("src").alias("last"), F.col("dst").alias("next"), "relation", "strength").join(may, "next")
+
+
+def _extended(starts: DataFrame, edges: DataFrame, hops: int, least: float, path: bool):
+    """Frontier after each hop: simple paths that can still end with a product of ``least``."""
     e = settle(first_edges(edges))
-    falls = e.agg(F.max("strength")).first()[0]
-    prune = falls is None or falls <= 1
-    path = starts.select(F.array("id").alias("path"), F.col("id").alias("last"), F.array().cast("array<string>").alias("relations"), F.lit(1.0).alias("weight"))
-    out = None
+    ahead = settle(best_ahead(e, hops - 1))
+    front = starts.select(F.array("id").alias("path"), F.col("id").alias("last"), F.array().cast("array<string>").alias("relations"), F.lit(1.0).alias("weight"))
     for hop in range(1, hops + 1):
-        nxt = e.select(F.col("src").alias("last"), F.col("dst").alias("next"), "relation", "strength")
-        path = path.join(nxt, "last").filter(~F.array_contains("path", F.col("next"))).select(
-            F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"), F.concat("relations", F.array("relation")).alias("relations"),
-            (F.col("weight") * F.col("strength")).alias("weight"))
-        if prune:
-            path = path.filter(F.round("weight", 9) >= least)
+        parts, directory = split(_promising(e, ahead, hop, hops), "last")
+        weight = F.col("weight") * F.col("strength")
+        front = expand(front, parts, directory, "last").filter(~F.array_contains("path", F.col("next")) & (weight * F.col("ahead") * (1 + 1e-9) + 1e-9 >= least)).select(
+            F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"),
+            (F.concat("relations", F.array("relation")) if path else F.col("relations")).alias("relations"), weight.alias("weight"))
+        if hop < hops:
+            front = settle(front)
+        yield hop, front.filter(F.round("weight", 9) >= least)
+
+
+def indirect_paths(starts: DataFrame, edges: DataFrame, hops: int = 3, least: float = 0.3) -> DataFrame:
+    """Simple paths of 2..hops edges with a strength product of at least ``least``, one row each.
+
+    A prefix goes on only where the best product of what may follow
+    (:func:`best_ahead`) can lift it to ``least``, so no prefix is made in vain
+    for a bound of walks, whatever the strengths. See :func:`path_table` for a
+    form that grows with the pairs, not with the paths.
+    """
+    out = None
+    for hop, front in _extended(starts, edges, hops, least, True):
         if hop > 1:
-            rows = path.filter(F.round("weight", 9) >= least)
-            out = rows if out is None else out.unionByName(rows)
+            out = front if out is None else out.unionByName(front)
     return out.select(F.col("path")[0].alias("source"), F.col("last").alias("target"), "path", "relations", F.size("relations").alias("hops"), "weight")
 
 
+def path_table(starts: DataFrame, edges: DataFrame, hops: int = 3, least: float = 0.3) -> DataFrame:
+    """(source, target, hops, pred, n_paths, best): the same paths by the node before their target, with their number and best product.
+
+    Paths are counted by partial sums where they are made and never written
+    out. A path is read backwards along ``pred``.
+    """
+    out = None
+    for hop, front in _extended(starts, edges, hops, least, False):
+        if hop > 1:
+            rows = front.groupBy(F.col("path")[0].alias("source"), F.col("last").alias("target"), F.lit(hop).alias("hops"), F.element_at("path", -2).alias("pred")).agg(
+                F.count(F.lit(1)).alias("n_paths"), F.max("weight").alias("best"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # Readings of two-step connections; {0} {1} {2} are the names.
 READINGS = {
     ("ALLIES_WITH", "CONFLICTS_WITH"): "{0}'s ally {1} is enemies with {2} (potential loyalty conflict)",
@@ -160,19 +222,21 @@ def hidden_connections(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
     Two steps are made from each a and two back from each b; three and four
     step paths come from an equi-join on (middle, b), so no path is extended
-    that cannot arrive.
+    that cannot arrive. Hubs are expanded in parts.
     """
-    e = settle(first_edges(edges).select("src", "dst", "strength"))
+    e = first_edges(edges).select("src", "dst", "strength")
+    out, out_parts = split(e, "src")
+    into, into_parts = split(e, "dst")
+    leave = lambda front, node, to, w: expand(front.withColumnRenamed(node, "src"), out, out_parts, "src").withColumnsRenamed({"src": node, "dst": to, "strength": w})
+    arrive = lambda front, node, of, w: expand(front.withColumnRenamed(node, "dst"), into, into_parts, "dst").withColumnsRenamed({"dst": node, "src": of, "strength": w})
     pairs = pairs.select("a", "b").distinct()
-    one = pairs.join(e.select(F.col("src").alias("a"), F.col("dst").alias("x"), F.col("strength").alias("w")), "a").filter("x <> b")
-    two = settle(one.join(e.select(F.col("src").alias("x"), F.col("dst").alias("m"), F.col("strength").alias("w2")), "x").filter("m <> a").select(
-        "a", "b", "x", "m", (F.col("w") * F.col("w2")).alias("w")))
+    one = leave(pairs, "a", "x", "w").filter("x <> b")
+    two = settle(leave(one, "x", "m", "w2").filter("m <> a").select("a", "b", "x", "m", (F.col("w") * F.col("w2")).alias("w")))
     p2 = two.filter("m = b").select("a", "b", F.array("a", "x", "b").alias("path"), "w")
     open2 = two.filter("m <> b")
-    p3 = open2.join(e.select(F.col("src").alias("m"), F.col("dst").alias("b"), F.col("strength").alias("w3")), ["m", "b"]).select(
+    p3 = open2.join(out.select(F.col("src").alias("m"), F.col("dst").alias("b"), F.col("strength").alias("w3")), ["m", "b"]).select(
         "a", "b", F.array("a", "x", "m", "b").alias("path"), (F.col("w") * F.col("w3")).alias("w"))
-    back = pairs.select("b").distinct().join(e.select(F.col("dst").alias("b"), F.col("src").alias("y"), F.col("strength").alias("w3")), "b").join(
-        e.select(F.col("dst").alias("y"), F.col("src").alias("m"), F.col("strength").alias("w4")), "y")
+    back = arrive(arrive(pairs.select("b").distinct(), "b", "y", "w3"), "y", "m", "w4")
     p4 = open2.join(back, ["m", "b"]).filter("y <> a AND y <> x AND y <> m AND y <> b").select(
         "a", "b", F.array("a", "x", "m", "y", "b").alias("path"), (F.col("w") * F.col("w4") * F.col("w3")).alias("w"))
     return p2.unionByName(p3).unionByName(p4).select("a", "b", "path", (F.size("path") - 1).alias("hops"), F.col("w").alias("weight"))
@@ -205,26 +269,45 @@ def causal_chains(events: DataFrame, edges: DataFrame, depth: int = 5) -> DataFr
     return out.select(F.col("path")[0].alias("event"), F.element_at("path", -1).alias("root_cause"), (F.size("path") - 1).alias("depth"), F.array_join(F.reverse("path"), " led to ").alias("narrative"))
 
 
-def plot_complications(nodes: DataFrame, edges: DataFrame, tensions: int | None = None) -> DataFrame:
-    """Triangles (high), characters joined only through others (medium), events without consequence (low).
+def hidden_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b): characters that no edge joins and a walk of two or three edges from the lesser id does, once each.
 
-    ``tensions`` keeps the first so many triangles by their members; by default all.
+    Such a walk between unlinked nodes implies a simple path. Hubs are expanded
+    in parts, and what is reached is made distinct at each step. For reports
+    use :func:`revealed_connections`, which has a row per character.
     """
-    found = conflict_triangles(nodes, edges)
-    top = (found if tensions is None else found.orderBy("members").limit(tensions)).select(
-        F.lit("character_tension").alias("kind"), F.lit("high").alias("priority"), F.col("a").alias("first"), F.col("c").alias("second"))
     link = settle(edges.select("src", "dst").distinct().filter("src <> dst"))
-    chars = nodes.filter("type = 'CHARACTER'").select("id")
-    step = link.select(F.col("src").alias("m"), F.col("dst").alias("y"))
-    # A walk of up to three edges between unlinked nodes implies a simple path of two or three.
+    chars = nodes.filter("type = 'CHARACTER'").select("id").distinct()
+    parts, directory = split(link, "src")
+    step = lambda front: expand(front.withColumnRenamed("m", "src"), parts, directory, "src").select("a", F.col("dst").alias("m")).distinct()
     one = link.join(chars.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("m"))
-    two = settle(one.join(step, "m").select("a", F.col("y").alias("m")).distinct())
-    three = two.join(step, "m").select("a", F.col("y").alias("m")).distinct()
-    reach = two.unionByName(three).withColumnRenamed("m", "b").filter("a < b").join(chars.select(F.col("id").alias("b")), "b", "left_semi").distinct()
+    two = settle(step(one))
+    reach = two.unionByName(step(two)).withColumnRenamed("m", "b").filter("a < b").join(chars.select(F.col("id").alias("b")), "b", "left_semi").distinct()
     direct = link.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    apart = reach.join(direct, ["a", "b"], "left_anti").select(F.lit("reveal_connection").alias("kind"), F.lit("medium").alias("priority"), F.col("a").alias("first"), F.col("b").alias("second"))
-    loose = nodes.filter("type = 'EVENT'").join(link.select(F.col("src").alias("id")), "id", "left_anti").select(
-        F.lit("unresolved_event").alias("kind"), F.lit("low").alias("priority"), F.col("id").alias("first"), F.lit("").alias("second"))
+    return reach.join(direct, ["a", "b"], "left_anti").select("a", "b")
+
+
+def revealed_connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, n_links, least): per character with :func:`hidden_links` their number and the least id at their other end; its size is that of the nodes."""
+    pairs = hidden_links(nodes, edges)
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"))
+    return ends.groupBy("e.id").agg(F.count(F.lit(1)).alias("n_links"), F.min("e.other").alias("least"))
+
+
+def plot_complications(nodes: DataFrame, edges: DataFrame, tensions: int | None = None) -> DataFrame:
+    """Triangles (high), characters joined only through others (medium), events without consequence (low): (kind, priority, first, second, n_links).
+
+    A character that is joined to others only through third ones has one row,
+    with the least of them and their number. ``tensions`` keeps the first so
+    many triangles by their members; by default all.
+    """
+    found = conflict_triangles(nodes, edges)
+    row = lambda kind, priority, first, second, n: [F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.col(first).alias("first"), second.alias("second"), n.alias("n_links")]
+    one = F.lit(1).cast("long")
+    top = (found if tensions is None else found.orderBy("members").limit(tensions)).select(*row("character_tension", "high", "a", F.col("c"), one))
+    apart = revealed_connections(nodes, edges).select(*row("reveal_connection", "medium", "id", F.col("least"), F.col("n_links")))
+    acts = edges.filter("src <> dst").select(F.col("src").alias("id"))
+    loose = nodes.filter("type = 'EVENT'").join(acts, "id", "left_anti").select(*row("unresolved_event", "low", "id", F.lit(""), one))
     return top.unionByName(apart).unionByName(loose)
 
 

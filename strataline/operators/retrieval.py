@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import os
 
 import numpy as np
 import pandas as pd
@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons
 from ..functions.text import any_hit, count_hits, head, tokens, words
+from ..session import is_written
 from .scale import blocked, numbered, settle
+from .vectors import vector_top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Rows of a block of vectors, of documents and of queries: they bound what a task holds.
-BLOCK_ROWS, BLOCK_DOCS, BLOCK_QUERIES = 8_192, 4_096, 512
+#: Rows of a block of documents and of queries: they bound what a task holds.
+BLOCK_DOCS, BLOCK_QUERIES = 4_096, 512
+#: Blocks that a query searches before it knows how much a hit must score.
+FIRST_BLOCKS = 4
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -59,29 +63,82 @@ def _term_scores(q: pd.DataFrame, p: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows[np.isfinite(value)]
 
 
-def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, qid: str = "qid", text: str = "query") -> DataFrame:
-    """(qid, doc, score): per query and block of documents the best ``k`` of those that share a term with it.
+def bounded_blocks(asked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qid, db, top): no document of block ``db`` scores more for the query than ``top``.
+
+    A term adds at most its weight times the greatest gain it has in the block
+    (block-max); a term of negative weight adds nothing at best. Some numbers
+    per query and block that share a term; no document is named.
+    """
+    most = wanted.groupBy("term", "db").agg(F.max("gain").alias("most"))
+    part = F.greatest(F.col("qtf") * F.col("idf"), F.lit(0.0)) * F.col("most")
+    return asked.join(most, "term").groupBy("qid", "db").agg((F.sum(part) * (1 + 1e-9) + 1e-8).alias("top"))
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, wanted: DataFrame, k: int, n_q: int) -> DataFrame:
+    """(qid, doc, score): the best ``k`` documents of every (query, block) pair; postings go to those query blocks alone that ask for their block."""
+    placed = pairs.select("qid", "db").withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int"))
+    left = asked.join(placed, "qid").groupBy("qb", "db")
+    blocks = placed.select(F.col("qb").alias("qb"), F.col("db").alias("db")).distinct()
+    right = wanted.join(blocks, "db").groupBy("qb", "db")
+    return left.cogroup(right).applyInPandas(
+        lambda q, p: _term_scores(q, p, k) if len(q) and len(p) else pd.DataFrame({"qid": [], "doc": [], "score": []}), "qid long, doc long, score double")
+
 
-    Postings are dealt to blocks of about ``BLOCK_DOCS`` documents, queries to
-    blocks of about ``BLOCK_QUERIES``; every block of queries meets every block
-    of documents, and sums are made there. So no (query, document) pair is
-    shuffled, and a term found in a third of all documents is spread over all
-    blocks. Only terms that are asked for leave the postings.
+def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, qid: str = "qid", text: str = "query") -> DataFrame:
+    """(qid, doc, score): enough of the documents that share a term with a query to hold its first ``k``.
+
+    Postings of asked terms are dealt to blocks of about ``BLOCK_DOCS``
+    documents. Each query first searches the ``FIRST_BLOCKS`` of its highest
+    bounds (:func:`bounded_blocks`). The k-th score found there is a floor, and it
+    goes on to those blocks alone whose bound reaches it; a query with fewer
+    than ``k`` hits so far goes to all blocks that share a term. So neither a
+    (query, document) pair nor a posting that cannot count is shuffled, and a
+    term found in a third of all documents is spread over all blocks.
     """
     asked = settle(queries.select(F.col(qid).cast("long").alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(
         F.count(F.lit(1)).alias("qtf")).join(stats.select("term", "idf"), "term"))
     length = stats.agg(F.first("avgdl").alias("avgdl"))  # one row
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(length), F.lit(True)).select(
-        F.col("doc").cast("long").alias("doc"), "term", gain.alias("gain"))
     parts = lambda df, c, size: max(1, math.ceil((df.agg(F.approx_count_distinct(c)).first()[0] or 0) / size))
     n_q, n_d = parts(queries, qid, BLOCK_QUERIES), parts(post, "doc", BLOCK_DOCS)
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumns({"qb": deal("qid", n_q), "db": everywhere(n_d)})
-    right = wanted.withColumns({"db": deal("doc", n_d), "qb": everywhere(n_q)})
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(
-        lambda q, p: _term_scores(q, p, k) if len(q) and len(p) else pd.DataFrame({"qid": [], "doc": [], "score": []}), "qid long, doc long, score double")
+    wanted = settle(post.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(length), F.lit(True)).select(
+        F.col("doc").cast("long").alias("doc"), "term", gain.alias("gain")).withColumn("db", F.pmod(F.xxhash64("doc"), F.lit(n_d)).cast("int")))
+    tops = settle(bounded_blocks(asked, wanted))
+    first = settle(top_k(tops, ["qid"], [F.desc("top"), "db"], FIRST_BLOCKS))
+    seeds = settle(_scored(first, asked, wanted, k, n_q))
+    floors = top_k(seeds, ["qid"], [F.desc("score")], k).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k).select("qid", "floor")
+    rest = tops.join(first.select("qid", "db"), ["qid", "db"], "left_anti").join(floors, "qid", "left").filter(F.col("floor").isNull() | (F.col("top") >= F.col("floor")))
+    return seeds.unionByName(_scored(rest, asked, wanted, k, n_q))
+
+
+_STORED: dict[tuple, tuple[str, str]] = {}
+
+
+def stored_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of a table of files, written once per state of those files and read again by later queries.
+
+    Files are known by path, length and time of change, so a changed table gets
+    an index of its own. :func:`~strataline.session.forget_intermediates`
+    removes stored indexes with all else.
+    """
+    spark = docs.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    state = []
+    for name in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.append((name, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, doc, text, tuple(state))
+    found = _STORED.get(key)
+    if found and all(is_written(spark, p) for p in found):
+        return tuple(spark.read.parquet(p) for p in found)
+    post = settle(postings(docs, doc, text))
+    stats = settle(term_statistics(post))
+    _STORED[key] = tuple(os.path.dirname(df.inputFiles()[0]) for df in (post, stats)) if post.inputFiles() and stats.inputFiles() else ()
+    if not _STORED[key]:
+        del _STORED[key]
+    return post, stats
 
 
 def bm25_top_k(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, keep_zero: bool = False) -> DataFrame:
@@ -96,79 +153,6 @@ def bm25_top_k(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, ke
     return top_k(hits.drop("rank").unionByName(fill), ["qid"], [F.desc("score"), "doc"], k)
 
 
-def _scores(base: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is better, one row per query."""
-    if metric == "l2":
-        return -(np.square(asked).sum(1)[:, None] + np.square(base).sum(1)[None, :] - 2 * asked @ base.T)
-    def unit(m):
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norm == 0, 1, norm)
-    return unit(asked) @ unit(base).T
-
-
-CELLS = 4_000_000
-
-
-def _best(q: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, max_age: float | None) -> pd.DataFrame:
-    """Best k rows of one block of vectors per query, inside the query's group, ties by id.
-
-    Queries are taken in strips, so the score table in memory stays below ``CELLS``.
-    """
-    out = []
-    b = b.sort_values("id", kind="stable")
-    for g, asked in q.groupby("grp", sort=False):
-        base = b[b["grp"] == g]
-        if not len(base):
-            continue
-        ids, born = base["id"].to_numpy(), base["at"].to_numpy()
-        vecs = np.stack(base["vec"].to_numpy()).astype("float64")
-        keep, strip = min(k, len(ids)), max(1, CELLS // len(ids))
-        for i in range(0, len(asked), strip):
-            part = asked.iloc[i:i + strip]
-            s = np.round(_scores(vecs, np.stack(part["vec"].to_numpy()).astype("float64"), metric), 9)
-            if max_age is not None:
-                age = part["at"].to_numpy()[:, None] - born[None, :]
-                s = np.where((age >= 0) & (age <= max_age), s, -np.inf)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-            score = np.take_along_axis(s, top, axis=1).ravel()
-            rows = pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), keep), "id": ids[top].ravel(), "score": score})
-            out.append(rows[np.isfinite(score)])
-    if not out:
-        return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    return pd.concat(out)
-
-
-def vector_top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", dim: int = 64, group: str | None = None,
-                 max_age: float | None = None) -> DataFrame:
-    """Exact nearest vectors: (qid, id, score, rank), optionally only inside the same ``group``.
-
-    With ``max_age`` both sides carry ``at``, and only vectors that are not
-    younger than the query and at most that much older count.
-
-    Vectors and queries of a group are dealt to blocks of about ``BLOCK_ROWS``
-    and ``BLOCK_QUERIES`` by their counts; a block of queries meets each block
-    of its own group, and k rows per query leave the task. One plan serves all
-    sizes, and nothing passes the driver. Vectors of another length than ``dim``
-    are an error; null ones are left out.
-    """
-    grp = (F.col(group).cast("string") if group else F.lit("")).alias("grp")
-    at = (F.col("at").cast("double") if max_age is not None else F.lit(0.0)).alias("at")
-    vec = F.when(F.size("vec") == dim, F.col("vec").cast("array<double>")).otherwise(F.raise_error(F.lit(f"a vector doesn't have {dim} components")))
-    usable = lambda d, i: d.filter(F.col("vec").isNotNull()).select(F.col(i).cast("long").alias(i), grp, at, vec.alias("vec"))
-    queries, base = usable(queries, "qid"), usable(base, "id")
-    count = lambda df, name, size: df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    sizes = count(queries, "qp", BLOCK_QUERIES).join(count(base, "bp", BLOCK_ROWS), "grp")
-    if not group:
-        sizes = F.broadcast(sizes)  # one row
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = queries.join(sizes, "grp").withColumn("blk", deal("qid", "qp")).withColumn("salt", everywhere("bp")).drop("qp", "bp")
-    right = base.join(sizes, "grp").withColumn("salt", deal("id", "bp")).withColumn("blk", everywhere("qp")).drop("qp", "bp")
-    part = left.groupBy("grp", "blk", "salt").cogroup(right.groupBy("grp", "blk", "salt")).applyInPandas(
-        lambda q, b: _best(q, b, k, metric, max_age), "qid long, id long, score double")
-    return top_k(part, ["qid"], [F.desc("score"), "id"], k)
-
-
 def fuse(lists: list[tuple[DataFrame, Column | float]], key: str, k: int, rrf_k: int = 60) -> DataFrame:
     """Weighted reciprocal-rank fusion of ranked lists (qid, key, rank)."""
     parts = [d.select("qid", key, ((F.lit(w) if isinstance(w, (int, float)) else w) / (rrf_k + F.col("rank"))).alias("part")) for d, w in lists]

@@ -194,6 +194,14 @@ def _(t):
     return rounded(p.select("source", "target", F.array_join("path", ">").alias("path"), F.array_join("relations", ",").alias("relations"), "hops", "weight"))
 
 
+@query("g21_path_table", f"""WITH a AS (SELECT src, dst, strength FROM first_edges WHERE src IN (SELECT id FROM g_nodes WHERE type='CHARACTER')),
+ b AS (SELECT a.src AS source, f.dst AS target, a.dst AS m, a.strength*f.strength AS w FROM a JOIN first_edges f ON f.src=a.dst WHERE f.dst<>a.src),
+ d AS (SELECT b.source, f.dst AS target, b.target AS pred, w*f.strength AS w FROM b JOIN first_edges f ON f.src=b.target WHERE f.dst<>b.source AND f.dst<>b.m)
+SELECT source, target, hops, pred, count(*) AS n_paths, round(max(w),6)+0.0 AS best FROM (SELECT source, target, 2 AS hops, m AS pred, w FROM b UNION ALL SELECT source, target, 3, pred, w FROM d) WHERE round(w,9)>=0.3 GROUP BY ALL""")
+def _(t):
+    return rounded(gr.path_table(gr.by_type(t.g_nodes, "CHARACTER").select("id"), t.g_edges))
+
+
 READ = "CASE relations " + " ".join(f"WHEN '{a},{b}' THEN replace(replace(replace('{x.replace(chr(39), chr(39) * 2)}','{{0}}',n0),'{{1}}',n1),'{{2}}',n2)" for (a, b), x in gr.READINGS.items()) + " ELSE n0||' connected to '||n2||' through '||n1 END"
 
 
@@ -234,11 +242,19 @@ def _(t):
     return gr.causal_chains(t.g_nodes.filter("type = 'EVENT'").select("id"), t.g_edges)
 
 
-@query("g25_plot_complications", """WITH l AS (SELECT DISTINCT src, dst FROM g_edges WHERE src<>dst), ch AS (SELECT id FROM g_nodes WHERE type='CHARACTER'), w2 AS (SELECT DISTINCT x.src AS a, y.dst AS b FROM l x JOIN l y ON y.src=x.dst WHERE x.src IN (SELECT id FROM ch)),
+cte("hidden", """SELECT a, b FROM (WITH l AS (SELECT DISTINCT src, dst FROM g_edges WHERE src<>dst), ch AS (SELECT id FROM g_nodes WHERE type='CHARACTER'), w2 AS (SELECT DISTINCT x.src AS a, y.dst AS b FROM l x JOIN l y ON y.src=x.dst WHERE x.src IN (SELECT id FROM ch)),
  w3 AS (SELECT DISTINCT a, y.dst AS b FROM w2 JOIN l y ON y.src=w2.b), u AS (SELECT * FROM w2 UNION SELECT * FROM w3)
-SELECT 'character_tension' AS kind, 'high' AS priority, a AS first, c AS second FROM triangles UNION ALL
-SELECT 'reveal_connection','medium',a,b FROM u WHERE a<b AND b IN (SELECT id FROM ch) AND (a,b) NOT IN (SELECT (src,dst) FROM l) AND (b,a) NOT IN (SELECT (src,dst) FROM l) UNION ALL
-SELECT 'unresolved_event','low',id,'' FROM g_nodes WHERE type='EVENT' AND id NOT IN (SELECT src FROM l)""")
+ SELECT a, b FROM u WHERE a<b AND b IN (SELECT id FROM ch) AND (a,b) NOT IN (SELECT (src,dst) FROM l) AND (b,a) NOT IN (SELECT (src,dst) FROM l))""")
+
+
+@query("g25_revealed_connections", "SELECT id, count(*) AS n_links, min(other) AS least FROM (SELECT a AS id, b AS other FROM hidden UNION ALL SELECT b, a FROM hidden) GROUP BY 1")
+def _(t):
+    return gr.revealed_connections(t.g_nodes, t.g_edges)
+
+
+@query("g25_plot_complications", """SELECT 'character_tension' AS kind, 'high' AS priority, a AS first, c AS second, 1::BIGINT AS n_links FROM triangles UNION ALL
+SELECT 'reveal_connection','medium',id,min(other),count(*) FROM (SELECT a AS id, b AS other FROM hidden UNION ALL SELECT b, a FROM hidden) GROUP BY id UNION ALL
+SELECT 'unresolved_event','low',id,'',1 FROM g_nodes WHERE type='EVENT' AND id NOT IN (SELECT src FROM g_edges WHERE src<>dst)""")
 def _(t):
     return gr.plot_complications(t.g_nodes, t.g_edges)
 

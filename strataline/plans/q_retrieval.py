@@ -36,9 +36,8 @@ def query_set(t):
 
 
 def index(t):
-    """Postings feed the statistics and the scores, and statistics feed every score, so both are written once."""
-    post = settle(re_.postings(t.documents))
-    return post, settle(re_.term_statistics(post))
+    """Postings and statistics of the documents, stored once per state of the table."""
+    return re_.stored_index(t.documents)
 
 
 @query("r1_bm25_index", f"SELECT term, df, {sql6('idf', 'avgdl')} FROM bm_stats")

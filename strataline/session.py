@@ -60,6 +60,12 @@ def intermediate(spark: SparkSession, *names: str) -> str:
     return path
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table is at a path."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def forget_intermediates(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far; call it when the results that read them have been used."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.feedback import START, average, step
 from ..operators.textprep import redact
+from .ordered import decisions, rocksdb
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,9 +26,10 @@ def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger
 
 def drain(df: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
     """Process everything that is there, with a checkpoint next to the output, and stop."""
-    q = (df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb(df.sparkSession):
+        q = (df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return q
 
 
@@ -65,18 +67,18 @@ def admit(times: list[float], held: list[float], limit: int, window: float) -> t
     return out, held
 
 
-def admissions(events: DataFrame, key: str, limit: int, window: float, ts: str = "ts", row: str = "event_id") -> DataFrame:
-    """Per-key request limit as a decision stream; the state holds at most ``limit`` times."""
+def admissions(events: DataFrame, key: str, limit: int, window: float, ts: str = "ts", row: str = "event_id", delay: str = "10 minutes", grain: float = 60.0) -> DataFrame:
+    """Per-key request limit in event time, as a decision stream: (key, row, admitted), see :func:`ordered.decisions`.
+
+    A key remembers at most ``limit`` times, and none that are ``window``
+    seconds old.
+    """
 
-    def decide(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["t", "row"])
-        ok, held = admit(list(pdf["t"]), held, limit, window)
-        state.update((held,))
-        yield pd.DataFrame({"key": [k[0]] * len(pdf), "row": pdf["row"].to_numpy(), "admitted": ok})
+    def fold(times: list[float], held: list[float]) -> tuple[list[bool], list[float], float]:
+        ok, held = admit(times, held, limit, window)
+        return ok, held, (held[-1] if held else times[-1]) + window
 
-    s = events.select(F.col(key).cast("long").alias("key"), F.col(row).cast("long").alias("row"), F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return s.groupBy("key").applyInPandasWithState(decide, "key long, row long, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return decisions(events, key, row, ts, fold, "admitted", delay, grain)
 
 
 def expire(times: list[float], born: float | None, ttl: float) -> tuple[list[bool], float | None]:
@@ -89,18 +91,14 @@ def expire(times: list[float], born: float | None, ttl: float) -> tuple[list[boo
     return out, born
 
 
-def ttl_cache(events: DataFrame, key: str, ttl: float, ts: str = "ts", row: str = "event_id") -> DataFrame:
-    """Cache lookups with entries that expire ``ttl`` seconds after insertion."""
+def ttl_cache(events: DataFrame, key: str, ttl: float, ts: str = "ts", row: str = "event_id", delay: str = "10 minutes", grain: float = 60.0) -> DataFrame:
+    """Cache lookups in event time with entries that expire ``ttl`` seconds after insertion: (key, row, hit), see :func:`ordered.decisions`."""
 
-    def look(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        born = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["t", "row"])
-        hit, born = expire(list(pdf["t"]), born, ttl)
-        state.update((born,))
-        yield pd.DataFrame({"key": [k[0]] * len(pdf), "row": pdf["row"].to_numpy(), "hit": hit})
+    def fold(times: list[float], held: list[float]) -> tuple[list[bool], list[float], float]:
+        hits, born = expire(times, held[0] if held else None, ttl)
+        return hits, [born], born + ttl
 
-    s = events.select(F.col(key).cast("long").alias("key"), F.col(row).cast("long").alias("row"), F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return s.groupBy("key").applyInPandasWithState(look, "key long, row long, hit boolean", "born double", "append", GroupStateTimeout.NoTimeout)
+    return decisions(events, key, row, ts, fold, "hit", delay, grain)
 
 
 def daily_studies(events: DataFrame, path: str, delay: str = "2 days", ts: str = "ts") -> StreamingQuery:

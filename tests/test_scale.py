@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataline.operators import feedback as fb, graph, plot, retrieval, scale
+from strataline.operators import feedback as fb, graph, plot, retrieval, scale, vectors
 
 
 @pytest.fixture(scope="module")
@@ -53,8 +53,8 @@ def test_previous_values(spark):
 
 @pytest.mark.parametrize("rows", [4, 40, 10_000])
 def test_vector_search_in_blocks(spark, monkeypatch, rows):
-    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", rows)
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", rows)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(1)
     base, ask = rng.normal(size=(150, 4)), rng.normal(size=(13, 4))
     b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id long, vec array<double>")
