@@ -40,7 +40,8 @@ def split(edges: DataFrame, node: str, ranges: int = 8) -> tuple[DataFrame, Data
     """
     rest = [c for c in edges.columns if c != node]
     n = ranges * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = settle(edges.repartitionByRange(n, F.col(node), *[F.col(c) for c in rest]).withColumn("_part", F.spark_partition_id()))
+    # Ranges are found from a sample, so the edges are written before.
+    parts = settle(settle(edges).repartitionByRange(n, F.col(node), *[F.col(c) for c in rest]).withColumn("_part", F.spark_partition_id()))
     return parts, settle(parts.select(node, "_part").distinct())
 
 
@@ -125,40 +126,43 @@ def first_edges(edges: DataFrame) -> DataFrame:
     return best.select("src", "dst", F.coalesce("b.relation", F.lit("UNKNOWN")).alias("relation"), F.coalesce("b.strength", F.lit(0.5)).alias("strength"))
 
 
-def best_ahead(edges: DataFrame, hops: int) -> DataFrame:
-    """(node, left, best): the greatest product of strengths of a walk of exactly ``left`` edges from a node, for 0 to ``hops`` edges.
+def best_ahead(edges: DataFrame, hops: int) -> list[DataFrame]:
+    """For 1 to ``hops`` edges the table (node, best): the greatest product of strengths of a walk of exactly so many edges from a node.
 
     Walks may repeat nodes, so the product of a simple path is never above it;
-    this holds for strengths of any size from 0.
+    this holds for strengths of any size from 0. The greatest product per node
+    is a partial maximum, so a hub sends one row per task.
     """
-    level = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("best", F.lit(1.0))
-    out = level.withColumn("left", F.lit(0))
+    out = []
     for left in range(1, hops + 1):
-        # The greatest product per source is a partial maximum, so a hub sends one row per task.
-        level = settle(edges.join(level.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("strength") * F.col("best")).alias("best")))
-        out = out.unionByName(level.withColumn("left", F.lit(left)))
+        rows = edges.select(F.col("src").alias("node"), "dst", F.col("strength").alias("best")) if left == 1 else edges.join(
+            out[-1].select(F.col("node").alias("dst"), F.col("best").alias("_on")), "dst").select(F.col("src").alias("node"), "dst", (F.col("strength") * F.col("_on")).alias("best"))
+        out.append(settle(rows.groupBy("node").agg(F.max("best").alias("best"))))
     return out
 
 
-def _promising(edges: DataFrame, ahead: DataFrame, done: int, hops: int) -> DataFrame:
-    """(last, next, relation, strength, ahead) of edges taken as edge ``done`` of a path; ahead: the best product of what may follow its second node."""
-    least = max(0, 2 - done)
-    may = ahead.filter(F.col("left").between(least, hops - done)).groupBy(F.col("node").alias("next")).agg(F.max("best").alias("ahead"))
-    return edges.select(F.col("src").alias("last"), F.col("dst").alias("next"), "relation", "strength").join(may, "next")
+def _with_ahead(edges: DataFrame, hops: int) -> DataFrame:
+    """Edges (last, next, relation, strength) with ``ahead_h`` for every place h of 1 to ``hops`` in a path: the best product of what may still follow, or null."""
+    out = edges.select(F.col("src").alias("last"), F.col("dst").alias("next"), "relation", "strength")
+    for left, table in enumerate(best_ahead(edges, hops - 1), 1):
+        out = out.join(table.select(F.col("node").alias("next"), F.col("best").alias(f"_best_{left}")), "next", "left")
+    # A path has two edges at least, so after the first one more must come; later it may end.
+    ends = lambda h: F.lit(1.0) if h > 1 else F.lit(None).cast("double")
+    best = lambda h: F.greatest(ends(h), F.lit(None).cast("double"), *[F.col(f"_best_{k}") for k in range(1, hops - h + 1)])
+    return out.select("last", "next", "relation", "strength", *[best(h).alias(f"ahead_{h}") for h in range(1, hops + 1)])
 
 
 def _extended(starts: DataFrame, edges: DataFrame, hops: int, least: float, path: bool):
     """Frontier after each hop: simple paths that can still end with a product of ``least``."""
-    e = settle(first_edges(edges))
-    ahead = settle(best_ahead(e, hops - 1))
+    parts, directory = split(_with_ahead(settle(first_edges(edges)), hops), "last")
     front = starts.select(F.array("id").alias("path"), F.col("id").alias("last"), F.array().cast("array<string>").alias("relations"), F.lit(1.0).alias("weight"))
     for hop in range(1, hops + 1):
-        parts, directory = split(_promising(e, ahead, hop, hops), "last")
         weight = F.col("weight") * F.col("strength")
-        front = expand(front, parts, directory, "last").filter(~F.array_contains("path", F.col("next")) & (weight * F.col("ahead") * (1 + 1e-9) + 1e-9 >= least)).select(
+        enough = (weight * F.col(f"ahead_{hop}") * (1 + 1e-9) + 1e-9 >= least) & ~F.array_contains("path", F.col("next"))
+        front = expand(front, parts, directory, "last").filter(enough).select(
             F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"),
             (F.concat("relations", F.array("relation")) if path else F.col("relations")).alias("relations"), weight.alias("weight"))
-        if hop < hops:
+        if 1 < hop < hops:
             front = settle(front)
         yield hop, front.filter(F.round("weight", 9) >= least)
 

@@ -58,7 +58,7 @@ class InEventOrder(StatefulProcessor):
             slots = micros // (self.grain * 1000)
             for slot in np.unique(slots).tolist():
                 mine = slots == slot
-                known = self.packets.getValue((slot,)) if self.packets.containsKey((slot,)) else None
+                known = self.packets.getValue((slot,))
                 n = known[0] if known else 0
                 self.rows.updateValue((slot, n), (micros[mine].tobytes(), ids[mine].tobytes()))
                 self.packets.updateValue((slot,), (n + 1,))
@@ -68,11 +68,12 @@ class InEventOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        memory = self.memory.get() if self.memory.exists() else None
+        memory = self.memory.get()
         slot = now // self.grain - 1
-        if now % self.grain == 0 and self.packets.containsKey((slot,)):
+        waiting = self.packets.getValue((slot,)) if now % self.grain == 0 else None
+        if waiting:
             packets = []
-            for n in range(self.packets.getValue((slot,))[0]):
+            for n in range(waiting[0]):
                 packets.append(self.rows.getValue((slot, n)))
                 self.rows.removeKey((slot, n))
             self.packets.removeKey((slot,))
