@@ -166,28 +166,44 @@ def report_lines(facts_: DataFrame, recs: DataFrame, by: list[str]) -> DataFrame
     return body.unionByName(top)
 
 
+# The wording of interpretations, as (upper limit, ...) bands and format strings.
+I2_BANDS = [
+    (25, "low", "Studies show consistent effects."),
+    (50, "moderate", "Some variation between studies exists."),
+    (75, "substantial", "Considerable variation exists. Random effects model appropriate."),
+    (None, "high", "True effects vary substantially. Consider subgroup analysis."),
+]
+I2_TEXT = "I² = %.1f%% indicates **%s heterogeneity**. %s"
+TAU2_TEXT = "τ² = %.4f (τ = %.3f). This represents the estimated variance of true effects across studies."
+P_TINY_TEXT = "p < 0.001: Highly significant. Strong evidence against null hypothesis."
+P_TEXT = "p = %.3f: "
+P_BANDS = [
+    (0.01, "Significant. Good evidence against null hypothesis."),
+    (0.05, "Marginally significant. Some evidence, but borderline."),
+    (0.10, "Not significant, but approaching significance."),
+    (None, "Not statistically significant."),
+]
+EGGER_TEXT = "Egger's test p = %.3f: "
+EGGER_BANDS = [
+    (0.05, "Significant asymmetry detected. Publication bias possible."),
+    (0.10, "Borderline asymmetry. Consider cautiously."),
+    (None, "No significant asymmetry detected."),
+]
+Q_TEXT = "Q = %.2f (df = %d): Measures total heterogeneity in the meta-analysis."
+
+
 def interpretations(pooled: DataFrame, severity: DataFrame, by: list[str]) -> DataFrame:
     """Banded text for I2, tau2, p, Egger p and Q, one row per statistic."""
     c, fs = F.col, F.format_string
     p = norm_p(c("re_effect") / c("re_se"))
     j = pooled.join(severity.select(*by, "egger_p"), by).withColumn("p", p)
-    i2 = [(25, "low", "Studies show consistent effects."), (50, "moderate", "Some variation between studies exists."),
-          (75, "substantial", "Considerable variation exists. Random effects model appropriate."),
-          (None, "high", "True effects vary substantially. Consider subgroup analysis.")]
-    level, meaning = bands(c("i2"), [(a, b) for a, b, _ in i2]), bands(c("i2"), [(a, m) for a, _, m in i2])
-    p_text = (F.when(c("p") < 0.001, F.lit("p < 0.001: Highly significant. Strong evidence against null hypothesis."))
-              .otherwise(F.concat(fs("p = %.3f: ", c("p")), bands(c("p"), [
-                  (0.01, "Significant. Good evidence against null hypothesis."),
-                  (0.05, "Marginally significant. Some evidence, but borderline."),
-                  (0.10, "Not significant, but approaching significance."), (None, "Not statistically significant.")]))))
+    level, meaning = bands(c("i2"), [(a, b) for a, b, _ in I2_BANDS]), bands(c("i2"), [(a, m) for a, _, m in I2_BANDS])
     texts = [
-        ("i2", fs("I² = %.1f%% indicates **%s heterogeneity**. %s", c("i2"), level, meaning)),
-        ("tau2", fs("τ² = %.4f (τ = %.3f). This represents the estimated variance of true effects across studies.", c("tau2"), F.sqrt("tau2"))),
-        ("p_value", p_text),
-        ("eggers_p", F.concat(fs("Egger's test p = %.3f: ", c("egger_p")), bands(c("egger_p"), [
-            (0.05, "Significant asymmetry detected. Publication bias possible."), (0.10, "Borderline asymmetry. Consider cautiously."),
-            (None, "No significant asymmetry detected.")]))),
-        ("q", fs("Q = %.2f (df = %d): Measures total heterogeneity in the meta-analysis.", c("q"), c("df"))),
+        ("i2", fs(I2_TEXT, c("i2"), level, meaning)),
+        ("tau2", fs(TAU2_TEXT, c("tau2"), F.sqrt("tau2"))),
+        ("p_value", F.when(c("p") < 0.001, F.lit(P_TINY_TEXT)).otherwise(F.concat(fs(P_TEXT, c("p")), bands(c("p"), P_BANDS)))),
+        ("eggers_p", F.concat(fs(EGGER_TEXT, c("egger_p")), bands(c("egger_p"), EGGER_BANDS))),
+        ("q", fs(Q_TEXT, c("q"), c("df"))),
     ]
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), x.alias("text")) for n, x in texts])).alias("e")
     return j.select(*by, rows).select(*by, "e.*")

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,65 @@ def test_sample_against_sql(spark, name):
     assert sorted(got.columns) == cols
     line = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
     assert line(got) == line(want)
+
+
+def test_projection_is_that_of_the_covariance(spark):
+    """The two columns are the coordinates on the two greatest eigenvectors, found by power iteration, up to sign."""
+    from strataline.operators.retrieval import projection
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(200, 6)) * np.array([5, 3, 1, 1, 0.5, 0.1]) @ np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    got = {r.vec_id: (r.x, r.y) for r in projection(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")).collect()}
+    cov, axes = np.cov(m.T), []
+    for _ in range(2):
+        v = np.ones(6)
+        for _ in range(500):
+            v = cov @ v
+            v /= np.linalg.norm(v)
+        axes.append(v)
+        cov = cov - (v @ cov @ v) * np.outer(v, v)
+    for k, v in enumerate(axes):
+        mine = np.array([got[i][k] for i in range(len(m))])
+        assert np.allclose(mine, m @ v, atol=1e-6) or np.allclose(mine, -(m @ v), atol=1e-6)
+
+
+def chunks_by_index(text, size, overlap, separators):
+    """The same chunks from running lengths: runs of parts that fit are windows over an index, parts that don't are cut finer."""
+    k = next(i for i, s in enumerate(separators) if not s or s in text)
+    sep = separators[k]
+    cuts, i = [0], 0
+    while i < len(text):
+        if text.startswith(sep, i):
+            cuts.append(i)
+        i += max(1, len(sep)) if text.startswith(sep, i) else 1
+    parts = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)]) if b > a]
+    out, first = [], 0
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
+    last = 0
+    while last < len(parts):
+        if len(parts[last]) > size:
+            out += [x for x in ["".join(parts[first:last]).strip()] if x] + chunks_by_index(parts[last], size, overlap, separators[k + 1:])
+            first = last = last + 1
+            continue
+        if ends[last + 1] - ends[first] > size:
+            out += [x for x in ["".join(parts[first:last]).strip()] if x]
+            while first < last and (ends[last] - ends[first] > overlap or ends[last + 1] - ends[first] > size):
+                first += 1
+        last += 1
+    return out + [x for x in ["".join(parts[first:last]).strip()] if x]
+
+
+def test_recursive_chunks_by_index(spark):
+    import random
+
+    from strataline.functions.tables import register
+    from strataline.operators.textprep import SEPARATORS, recursive_chunks
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(["word", "a", "longerword", " ", " ", "\n", ". ", "é"]) + rnd.choice(["", " ", "\n" * rnd.choice([1, 1, 3])]) for _ in range(rnd.choice([0, 3, 60]))) for _ in range(60)] + ["x" * 90, None, "", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, n, c) for i, t in enumerate(texts) if t for n, c in enumerate(chunks_by_index(t, 30, 10, SEPARATORS))}
+    assert {tuple(r) for r in recursive_chunks(docs, size=30, overlap=10).collect()} == want
+    register(spark)
+    docs.createOrReplaceTempView("chunk_docs")
+    assert {tuple(r) for r in spark.sql("SELECT doc_id, c.chunk_index, c.text FROM chunk_docs, LATERAL recursive_chunks(chunk_docs.text, 30, 10) c").collect()} == want
