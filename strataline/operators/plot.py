@@ -182,7 +182,14 @@ def unmet_pairs(nodes: DataFrame, edges: DataFrame, chapter: int, limit: int) ->
     first = lack.orderBy("id").limit(limit)
     upto = F.sum("lack").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
     lead = first.withColumn("_before", F.coalesce(upto, F.lit(0))).filter(F.col("_before") < limit).select(F.col("id").alias("a"))
-    return chars.select(F.col("id").alias("b")).join(F.broadcast(lead), F.col("a") < F.col("b")).join(pair, ["a", "b"], "left_anti").orderBy("a", "b").limit(limit)
+    # Whom a lead lacks are the ranks between those of its partners, and after the last one: no character is tried that it knows.
+    rank = lambda c, as_: chars.select(F.col("id").alias(c), F.col("rn").alias(as_))
+    lead = lead.join(rank("a", "ra"), "a")
+    marks = pair.join(lead, "a").join(rank("b", "rb"), "b").select("a", "ra", "rb").unionByName(lead.join(F.broadcast(n), F.lit(True)).select("a", "ra", (F.col("n") + 1).alias("rb")))
+    low = F.coalesce(F.lag("rb").over(Window.partitionBy("a").orderBy("rb")), F.col("ra")) + 1
+    gaps = marks.withColumn("low", low).filter(F.col("low") < F.col("rb")).orderBy("ra", "low").limit(limit)
+    lacks = gaps.select("a", "ra", F.explode(F.sequence("low", F.least(F.col("rb") - 1, F.col("low") + limit - 1))).alias("rb")).orderBy("ra", "rb").limit(limit)
+    return lacks.join(rank("b", "rb"), "rb").select("a", "b").orderBy("a", "b")
 
 
 PRIORITIES = ["urgent", "high", "medium", "low"]
