@@ -82,13 +82,10 @@ def semantic_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     step = lambda i: F.when((i > 0) & (F.round(near(F.get("_v", i - 1), F.get("_v", i)), 9) >= threshold), 0).otherwise(1)
     d = d.withColumn("_b", F.transform("_s", lambda x, i: step(i)))
     start = F.array().cast("array<string>")
-
-    def grow(acc, p):
-        last = F.size(acc)
-        return F.when(p.b == 1, F.concat(acc, F.array(p.s))).otherwise(
-            F.concat(F.slice(acc, 1, F.greatest(last - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), F.lit(". "), p.s))))
-
-    chunks = F.aggregate(F.zip_with("_s", "_b", lambda x, b: F.struct(x.alias("s"), b.alias("b"))), start, grow)
+    # Chunks are slices between boundaries, so each sentence is copied once.
+    d = d.withColumn("_at", F.filter(F.transform("_b", lambda b, i: F.when(b == 1, i + 1)), lambda i: i.isNotNull()))
+    upto = lambda j: F.coalesce(F.get("_at", j + 1), F.size("_s") + 1)
+    chunks = F.transform("_at", lambda i, j: F.array_join(F.slice("_s", i, upto(j) - i), ". "))
     final = F.when(F.size("_s") <= 1, F.when(strip(F.col(text)) != "", F.array(F.col(text))).otherwise(start)).otherwise(
         F.transform(chunks, lambda x: F.concat(x, F.lit("."))))
     return d.select(doc, F.posexplode(final).alias("chunk_index", "text"))
