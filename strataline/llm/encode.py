@@ -14,11 +14,11 @@ import pyarrow.compute as pc
 from .common import worker_state
 
 #: A worker forgets its pieces when it holds more; results don't depend on it.
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 500_000
 #: Texts are encoded in runs of about this many characters, whatever the size of an Arrow batch.
 RUN_CHARS = 2_000_000
 #: The same where only ids are made: longer runs see fewer pieces twice.
-ENCODE_CHARS = 6_000_000
+ENCODE_CHARS = 3_000_000
 
 _ODD = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
