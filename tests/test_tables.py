@@ -112,7 +112,7 @@ def test_admissions_over_micro_batches(spark, tmp_path):
 
     base = dt.datetime(2024, 1, 1)
     rows = [(i, base + dt.timedelta(seconds=7 * i), i % 3) for i in range(120)]
-    for part in (rows[:50], rows[50:]):
+    for part in (rows[:50], rows[50:], [(None, base + dt.timedelta(days=1), None)]):  # the last row moves the watermark past all others
         spark.createDataFrame(part, "event_id long, ts timestamp_ntz, user_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(1.1)
     s = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
