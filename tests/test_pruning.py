@@ -190,6 +190,16 @@ def test_revealed_connections_count_the_pairs(spark):
     assert len(set(pairs)) == len(pairs) > 10 and got == {k: (len(v), min(v)) for k, v in other.items()}
 
 
+def test_plot_complications_have_every_pair(spark):
+    rnd = random.Random(9)
+    names = [f"v{i:02}" for i in range(25)]
+    e = spark.createDataFrame([(str(i), *rnd.sample(names, 2), "R", 0.5, 1) for i in range(35)], EDGES)
+    nodes = spark.createDataFrame([(n, "CHARACTER" if i % 4 else "EVENT", n, 1) for i, n in enumerate(names)], "id string, type string, name string, first_appearance int")
+    pairs = {(r.a, r.b) for r in graph.hidden_links(nodes, e).collect()}
+    got = [(r.first, r.second) for r in graph.plot_complications(nodes, e).filter("kind = 'reveal_connection'").collect()]
+    assert len(got) == len(pairs) > 10 and set(got) == pairs
+
+
 # Streams
 
 
