@@ -31,14 +31,15 @@ def in_event_order(t, name, job):
     """A decision stream over the events in files of any order, one per micro-batch; then a last row that only moves the watermark.
 
     The watermark trails by the span of the events, as the first file may have
-    the last of them.
+    the last of them. Buckets of users rise with the events, so what a task
+    holds of one does not.
     """
     path = scratch(t, name)
     e = t.events.select("event_id", "user_id", "ts")
     e.repartition(3, F.xxhash64("event_id")).write.parquet(f"{path}/in")
-    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    first, last, n = e.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     span = last - first if last else dt.timedelta(0)
-    s = lambda: job(t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), f"{int(span.total_seconds()) + 1} seconds")
+    s = lambda: job(t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), delay=f"{int(span.total_seconds()) + 1} seconds", buckets=max(64, n // 50_000))
     jobs.drain(s(), path)
     if last:
         closing = t.spark.createDataFrame([(None, None, last + 2 * span + dt.timedelta(days=1))], e.schema)
@@ -57,7 +58,7 @@ _SEQ = "SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION B
  SELECT user_id, event_id, i, len(live)<3, CASE WHEN len(live)<3 THEN list_append(live, t) ELSE live END FROM (SELECT e.user_id, e.event_id, e.i, e.t, list_filter(s.held, lambda h: h>e.t-21600) AS live FROM s JOIN e ON e.user_id=s.user_id AND e.i=s.i+1))
 SELECT user_id AS key, event_id AS "row", ok AS admitted FROM s""")
 def _(t):
-    return in_event_order(t, "admissions", lambda s, delay: jobs.admissions(s, "user_id", 3, 6 * 3600.0, delay=delay, grain=86400.0))
+    return in_event_order(t, "admissions", lambda s, **how: jobs.admissions(s, "user_id", 3, 6 * 3600.0, grain=86400.0, **how))
 
 
 @query("st1_sliding_counts", """SELECT strftime(s,'%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT user_id, unnest([time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01')-INTERVAL '1 hour']) AS s FROM events)
@@ -91,7 +92,7 @@ def _(t):
  SELECT e.user_id, e.event_id, e.i, e.t-s.born<=3600, CASE WHEN e.t-s.born<=3600 THEN s.born ELSE e.t END FROM s JOIN e ON e.user_id=s.user_id AND e.i=s.i+1)
 SELECT user_id AS key, event_id AS "row", hit FROM s""")
 def _(t):
-    return in_event_order(t, "ttl", lambda s, delay: jobs.ttl_cache(s, "user_id", 3600.0, delay=delay, grain=86400.0))
+    return in_event_order(t, "ttl", lambda s, **how: jobs.ttl_cache(s, "user_id", 3600.0, grain=86400.0, **how))
 
 
 @query("st5_daily_studies", "SELECT strftime(CAST(ts AS DATE),'%Y-%m-%d') AS day, event_type AS metric, count(*) FILTER (user_id%2=0) AS control_conversions, count(*) FILTER (user_id%2=1) AS treatment_conversions FROM events GROUP BY 1,2")

@@ -67,7 +67,7 @@ def admit(times: list[float], held: list[float], limit: int, window: float) -> t
     return out, held
 
 
-def admissions(events: DataFrame, key: str, limit: int, window: float, ts: str = "ts", row: str = "event_id", delay: str = "10 minutes", grain: float = 60.0) -> DataFrame:
+def admissions(events: DataFrame, key: str, limit: int, window: float, ts: str = "ts", row: str = "event_id", delay: str = "10 minutes", grain: float = 60.0, buckets: int = 256) -> DataFrame:
     """Per-key request limit in event time, as a decision stream: (key, row, admitted), see :func:`ordered.decisions`.
 
     A key remembers at most ``limit`` times, and none that are ``window``
@@ -78,7 +78,7 @@ def admissions(events: DataFrame, key: str, limit: int, window: float, ts: str =
         ok, held = admit(times, held, limit, window)
         return ok, held, (held[-1] if held else times[-1]) + window
 
-    return decisions(events, key, row, ts, fold, "admitted", delay, grain)
+    return decisions(events, key, row, ts, fold, "admitted", delay, grain, buckets)
 
 
 def expire(times: list[float], born: float | None, ttl: float) -> tuple[list[bool], float | None]:
@@ -91,14 +91,14 @@ def expire(times: list[float], born: float | None, ttl: float) -> tuple[list[boo
     return out, born
 
 
-def ttl_cache(events: DataFrame, key: str, ttl: float, ts: str = "ts", row: str = "event_id", delay: str = "10 minutes", grain: float = 60.0) -> DataFrame:
+def ttl_cache(events: DataFrame, key: str, ttl: float, ts: str = "ts", row: str = "event_id", delay: str = "10 minutes", grain: float = 60.0, buckets: int = 256) -> DataFrame:
     """Cache lookups in event time with entries that expire ``ttl`` seconds after insertion: (key, row, hit), see :func:`ordered.decisions`."""
 
     def fold(times: list[float], held: list[float]) -> tuple[list[bool], list[float], float]:
         hits, born = expire(times, held[0] if held else None, ttl)
         return hits, [born], born + ttl
 
-    return decisions(events, key, row, ts, fold, "hit", delay, grain)
+    return decisions(events, key, row, ts, fold, "hit", delay, grain, buckets)
 
 
 def daily_studies(events: DataFrame, path: str, delay: str = "2 days", ts: str = "ts") -> StreamingQuery:

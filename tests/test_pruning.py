@@ -266,3 +266,25 @@ def test_waiting_rows_and_memory_are_forgotten(spark, tmp_path):
     spark.createDataFrame([(None, at(99000), None)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
     q = jobs.drain(job(), f"{path}/run")
     assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_state_follows_buckets(spark, tmp_path):
+    """Many keys of one slot wait in the rows of their buckets, and decisions are those of the plain rule."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=i % 50), i % 300) for i in range(600)]
+    path = str(tmp_path)
+    job = lambda: jobs.admissions(spark.readStream.schema(SCHEMA).parquet(f"{path}/in"), "user_id", 1, 20.0, delay="1 hour", grain=3600.0, buckets=5)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{path}/in")
+    q = jobs.drain(job(), f"{path}/run")
+    assert 0 < q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 100
+    spark.createDataFrame([(None, base + dt.timedelta(days=1), None)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    jobs.drain(job(), f"{path}/run")
+    assert {r["row"]: r.admitted for r in spark.read.parquet(f"{path}/run/out").collect()} == brute_admitted(rows, 1, 20.0)
+
+
+def test_memory_outlives_a_slot_that_is_not_decided(spark, tmp_path):
+    """What a key remembers ends inside the slot that waits; the slot's earlier rows still meet it."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=s), 7) for i, s in enumerate([140, 161, 182, 203, 224, 400])]
+    got = streamed(spark, str(tmp_path), [[r] for r in rows], lambda s: jobs.admissions(s, "user_id", 2, 60.0, delay="10 seconds", grain=60.0))
+    assert {r["row"]: r.admitted for r in got} == brute_admitted(rows, 2, 60.0)
