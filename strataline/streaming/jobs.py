@@ -18,10 +18,13 @@ from .ordered import decisions, rocksdb
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet table (file or folder) as a stream with the schema of the stored files."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return r.parquet(f"{folder}/{table}.parquet")
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def drain(df: DataFrame, path: str, mode: str = "append") -> StreamingQuery:

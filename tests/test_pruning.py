@@ -288,3 +288,21 @@ def test_memory_outlives_a_slot_that_is_not_decided(spark, tmp_path):
     rows = [(i, base + dt.timedelta(seconds=s), 7) for i, s in enumerate([140, 161, 182, 203, 224, 400])]
     got = streamed(spark, str(tmp_path), [[r] for r in rows], lambda s: jobs.admissions(s, "user_id", 2, 60.0, delay="10 seconds", grain=60.0))
     assert {r["row"]: r.admitted for r in got} == brute_admitted(rows, 2, 60.0)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_stream_reads_file_and_folder(spark, tmp_path, files):
+    """A table that is a folder of files is streamed as a table that is one file."""
+    path = str(tmp_path)
+    df = spark.createDataFrame([(i, f"mail a{i}@b.org") for i in range(30)], "doc_id long, text string")
+    df.repartition(files).write.parquet(f"{path}/made")
+    if files == 1:
+        import glob
+        import shutil
+        shutil.copy(glob.glob(f"{path}/made/*.parquet")[0], f"{path}/documents.parquet")
+    else:
+        df.repartition(files).write.parquet(f"{path}/documents.parquet")
+    df.limit(1).write.parquet(f"{path}/other.parquet")
+    jobs.drain(jobs.redacted(jobs.table_stream(spark, path, "documents"), "doc_id", "text"), f"{path}/run")
+    got = spark.read.parquet(f"{path}/run/out").collect()
+    assert sorted(r.doc_id for r in got) == list(range(30)) and all(r.findings == 1 for r in got)
