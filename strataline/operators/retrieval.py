@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK_DOCS, BLOCK_QUERIES = 4_096, 512
 #: Blocks that a query searches before it knows how much a hit must score.
 FIRST_BLOCKS = 4
+#: Documents whose words are counted at once.
+COUNTED_ROWS = 256
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -28,17 +33,43 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, terms) in, a row (doc, dl, term, tf) per document and different term out; rows are counted a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, COUNTED_ROWS):
+            b = batch.slice(at, COUNTED_ROWS)
+            lists = b.column("terms")
+            term = lists.flatten().dictionary_encode()
+            length = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            width = max(1, len(term.dictionary))
+            met, tf = np.unique(np.repeat(np.arange(len(length)), length) * width + np.asarray(term.indices, np.int64), return_counts=True)
+            row = met // width
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(length[row].astype(np.int32)), term.dictionary.take(pa.array(met % width)), pa.array(tf.astype(np.int64))],
+                                             ["doc", "dl", "term", "tf"])
+
+
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf, dl); the length rides along, so no join is needed."""
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("_t"))
-    return t.select("doc", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, dl, term, tf); the length rides along, so no join is needed.
+
+    A document's terms are counted where it is read. Only documents whose key
+    occurs again are shuffled, as rows of one key and length count together.
+    """
+    t = docs.select(F.col(doc).alias("doc"), F.col(text).alias("_text"))
+    again = settle(t.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc").alias("_doc")))
+    kind = dict(t.dtypes)["doc"]
+    count = lambda d: d.select("doc", tokens(F.col("_text")).alias("terms")).mapInArrow(_counted, f"doc {kind}, dl int, term string, tf long")
+    if again.isEmpty():
+        return count(t)
+    same = F.col("doc").eqNullSafe(F.col("_doc"))
+    once, more = count(t.join(again, same, "left_anti")), count(t.join(again, same, "left_semi"))
+    return once.unionByName(more.groupBy("doc", "dl", "term").agg(F.sum("tf").alias("tf")))
 
 
 def term_statistics(post: DataFrame) -> DataFrame:
     """(term, df, idf, avgdl): negative idf is replaced by epsilon times the mean idf."""
     size = post.groupBy("doc", "dl").agg(F.count(F.lit(1)).alias("_u")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size), F.lit(True))
+    dfs = settle(post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))).join(F.broadcast(size), F.lit(True))
     raw = dfs.withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.join(F.broadcast(mean), F.lit(True)).select(
