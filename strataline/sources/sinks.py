@@ -48,9 +48,18 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def save_index(postings: DataFrame, statistics: DataFrame, vectors: DataFrame, path: str, buckets: int = 64) -> None:
-    """Index tables laid out by term and id bucket, so later joins read only what they need."""
-    b = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    postings.withColumn("bucket", b("term")).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Index tables laid out by term bucket, so later joins read only what they need.
+
+    Each task of the postings writes its share of every bucket, so none gathers
+    a bucket. The writers of all buckets are open at once, so nothing is sorted.
+    """
+    spark, writers = postings.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, None)
+    spark.conf.set(writers, str(buckets))
+    try:
+        postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    finally:
+        spark.conf.set(writers, before) if before else spark.conf.unset(writers)
     statistics.write.mode("overwrite").parquet(f"{path}/terms")
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 

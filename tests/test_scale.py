@@ -167,3 +167,33 @@ def test_paths_against_search(spark):
     got = {tuple(r.path): r.weight for r in graph.hidden_connections(pairs, edges).collect()}
     want = {p: w for p, w in every.items() if (p[0], p[-1]) in {("n0", "n5"), ("n3", "n1")}}
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_postings_of_repeated_keys(spark):
+    """Rows of one key and length count together, a null key too; others are counted where they are read."""
+    from collections import Counter
+
+    from strataline.operators import retrieval
+
+    rows = [(1, "a b a"), (1, "a c c"), (1, "a"), (2, "b  B\tc"), (None, "x y"), (None, "y x"), (3, ""), (4, None), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter()
+    for d, x in rows:
+        ws = (x or "").lower().split()
+        for w in ws:
+            want[d, len(ws), w] += 1
+    got = retrieval.postings(docs).collect()
+    assert len(got) == len(want) and {(r.doc, r.dl, r.term): r.tf for r in got} == want
+    assert "hashpartitioning" not in retrieval.postings(docs.filter("doc_id = 2"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_gathers_an_index_bucket(spark, tmp_path):
+    import glob
+
+    from strataline.sources import sinks
+
+    post = spark.createDataFrame([(i, 3, f"t{i % 7}", 1) for i in range(400)], "doc long, dl int, term string, tf long").repartition(4)
+    one = spark.createDataFrame([("t1", 1, 2.0)], "term string, df long, idf double")
+    sinks.save_index(post, one, one, str(tmp_path), 2)
+    assert all(len(glob.glob(f"{tmp_path}/postings/bucket={b}/*.parquet")) == 4 for b in (0, 1))
+    assert sorted(map(tuple, sinks.load_index(spark, str(tmp_path))[0].collect())) == sorted(map(tuple, post.collect()))
