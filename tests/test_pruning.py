@@ -190,6 +190,23 @@ def test_revealed_connections_count_the_pairs(spark):
     assert len(set(pairs)) == len(pairs) > 10 and got == {k: (len(v), min(v)) for k, v in other.items()}
 
 
+def test_small_groups_stay_whole(spark, monkeypatch):
+    """Many small groups need no pivots and no parts: a block per group, each ball met once."""
+    from strataline.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "CHUNK", 8)
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist(), float(i), i // 10) for i in range(200)], "id long, vec array<double>, at double, slot long")
+    held = vectors.usable(rows, "id", 4, "slot", 100.0)
+    pivots = vectors.pivots_of(held, "cosine", 4)
+    assert len(pivots) == 1
+    packed = vectors.blocks(held, pivots, "cosine", 16)
+    assert packed.groupBy("grp").count().count() == packed.count() == 20
+    seen = vectors._meeting(packed.select(*vectors._BALL), packed, lambda q, b: q[["blk"]].assign(n=len(q) * len(b)), "blk long, n long").collect()
+    assert len(seen) == 20 and all(r.n == 1 for r in seen)
+
+
 def test_plot_complications_have_every_pair(spark):
     rnd = random.Random(9)
     names = [f"v{i:02}" for i in range(25)]
