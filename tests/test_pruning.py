@@ -207,6 +207,23 @@ def test_small_groups_stay_whole(spark, monkeypatch):
     assert len(seen) == 20 and all(r.n == 1 for r in seen)
 
 
+def test_hits_leave_a_slice_once(spark, monkeypatch):
+    """Sixty base blocks in a few slices: a query leaves a slice with k hits, not one list per block, and the hits are exact."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 10)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(600, 4))
+    q, b = (vectors.usable(d, n, 4, None, None) for d, n in zip(frames(spark, base, base[::6]), ("qid", "id")))
+    pivots = vectors.pivots_of(b, "l2", 4)
+    qb, bb = vectors.blocks(q, pivots, "l2", 20), vectors.blocks(b, pivots, "l2", 10)
+    pairs = qb.select(F.col("blk").alias("qblk")).crossJoin(bb.select(F.col("blk").alias("bblk")))
+    groups, slices = vectors._grid(qb, bb, 4)
+    rows = vectors._searched(pairs, qb, bb, 3, "l2", 4, None).collect()
+    assert bb.count() >= 60 > slices and len(rows) <= 100 * 3 * slices
+    s = vectors.scores(base, base[::6], "l2")
+    for i in range(100):
+        assert [r.id for r in sorted((r for r in rows if r.qid == i), key=lambda r: (-r.score, r.id))[:3]] == sorted(range(600), key=lambda j: (-s[i, j], j))[:3]
+
+
 def test_plot_complications_have_every_pair(spark):
     rnd = random.Random(9)
     names = [f"v{i:02}" for i in range(25)]
