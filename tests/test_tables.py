@@ -216,3 +216,53 @@ def test_recursive_chunks_by_index(spark):
     register(spark)
     docs.createOrReplaceTempView("chunk_docs")
     assert {tuple(r) for r in spark.sql("SELECT doc_id, c.chunk_index, c.text FROM chunk_docs, LATERAL recursive_chunks(chunk_docs.text, 30, 10) c").collect()} == want
+
+
+def test_conversations_are_read_in_bounded_tasks(spark, tmp_path):
+    """A file of many turns is one split; its text work is dealt to tasks of so many turns, not to one per core."""
+    from strataline.plans.relations import TURNS, Tables
+
+    n = 5 * TURNS + 1
+    spark.range(n).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("a").alias("text")).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = Tables(spark, str(tmp_path)).conversations
+    assert got.rdd.getNumPartitions() == 6 > spark.sparkContext.defaultParallelism and got.count() == n
+
+
+def test_relations_of_every_pattern_and_case(spark):
+    """A pattern is tried only on texts with its fixed words; what the plain expressions find is what comes out."""
+    import re
+    from strataline.functions import lexicons
+    from strataline.operators import entities as en
+
+    lines = ["Aria AND Borin  Were allies.", "Aria was Borin's brother and Cela LOVED Doran", "Aria and Borin, were friends", "Elin\nworked  with Gwen; Hugo went to Northvale",
+             "Isla fought Against Jarek and arrived at Southmere", "beloved Aria hatedly", "", "Aria trusted Borin trusted Cela"]
+    got = {(r.seq, r.k, r.ord, r.source, r.target, r.relation) for r in en.pattern_relations(spark.createDataFrame([*enumerate(lines), (99, None)], "k int, text string")).collect()}
+    want = set()
+    for k, text in enumerate(lines):
+        rows = [(i, m[1], m[2], kind) for i, (p, kind, _) in enumerate(lexicons.RELATION_PATTERNS) for m in re.finditer("(?i)" + p, text)]
+        like = lambda w: len(w) > 1 and w[0].isupper() and w.upper() != w and w.lower() not in lexicons.NOT_ENTITY
+        want |= {(n, k, *r) for n, r in enumerate(r for r in rows if like(r[1]) and like(r[2]))}
+    assert got == want and len({r[2] for r in got}) >= 6
+    assert en.fixed_words(lexicons.RELATION_PATTERNS[0][0]) == ["and", "were"]
+
+
+def test_subsequences_some_rows_at_a_time(monkeypatch):
+    """Token lists of a batch never become Python's all at once."""
+    import random
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    lists = [[rnd.choices("abcd", k=rnd.randint(0, 12)) for _ in range(50)] for _ in range(2)]
+    seen = []
+    inner = coherence._lcs
+    monkeypatch.setattr(coherence, "COMPARED_ROWS", 7)
+    monkeypatch.setattr(coherence, "_lcs", lambda a, b: seen.append(isinstance(a[0], int)) or inner(a, b))
+    got = coherence._f1(*(pa.array(x, pa.list_(pa.string())) for x in lists)).to_pylist()
+    for g, r, value in zip(*lists, got):
+        best = [[0] * (len(r) + 1) for _ in range(len(g) + 1)]
+        for i, x in enumerate(g):
+            for j, y in enumerate(r):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        n = best[-1][-1]
+        assert value == pytest.approx(2 * n / (len(g) + len(r)) if n else 0.0)
+    assert all(seen)
