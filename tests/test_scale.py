@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataline.operators import feedback as fb, graph, plot, retrieval, scale, vectors
+from strataline.operators import feedback as fb, graph, plot, quality, retrieval, scale, vectors
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,27 @@ def test_quantiles(hot):
         assert got[k] == pytest.approx(tuple(np.percentile(g["x"], [25, 50])), abs=1e-12)
 
 
+def test_large_tables_have_as_many_slices_as_their_rows_ask_for(hot, monkeypatch):
+    monkeypatch.setattr(scale, "SLICE_ROWS", 100)
+    assert scale.sliced(hot, ["k"], ["v", "i"]).select("_slice").distinct().count() > 30
+    got = scale.numbered(hot, ["k"], ["v", "i"])
+    w = Window.partitionBy("k").orderBy("v", "i")
+    want = hot.select("i", F.row_number().over(w).cast("long").alias("rn2"))
+    assert got.join(want, "i").filter("rn = rn2").count() == 5000
+
+
+def test_outliers_leave_rows_where_they_are_read(hot):
+    out = quality.iqr_outliers(hot, ["k"], "x", 0.1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    fence = {}
+    for k, g in hot.toPandas().groupby("k"):
+        a, b = np.percentile(g["x"], [25, 75])
+        fence[k] = a - 0.1 * (b - a), b + 0.1 * (b - a)
+    want = {r.i for r in hot.collect() if not fence[r.k][0] <= r.x <= fence[r.k][1]}
+    assert {r.i for r in out.collect()} == want
+
+
 def test_previous_values(spark):
     df = spark.createDataFrame([("a", i, f"t{i}") for i in range(6)] + [("b", 9, "z")], "s string, p int, t string")
     got = {(r.s, r.p): r.prev for r in scale.with_previous(df, ["s"], ["p"], "t", 3).collect()}
