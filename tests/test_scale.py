@@ -218,3 +218,13 @@ def test_no_task_gathers_an_index_bucket(spark, tmp_path):
     sinks.save_index(post, one, one, str(tmp_path), 2)
     assert all(len(glob.glob(f"{tmp_path}/postings/bucket={b}/*.parquet")) == 4 for b in (0, 1))
     assert sorted(map(tuple, sinks.load_index(spark, str(tmp_path))[0].collect())) == sorted(map(tuple, post.collect()))
+
+
+def test_paths_carry_the_names_of_their_nodes(spark):
+    edges = spark.createDataFrame([(f"e{a}{b}", a, b, "KNOWS", 0.9) for a, b in ("ab", "bc", "cd", "bx")], "edge_id string, src string, dst string, relation string, strength double")
+    names = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C1"), ("c", "C2"), ("d", None), ("e", "E")], "id string, name string")
+    out = graph.indirect_paths(names.filter("id = 'a'").select("id"), edges, 3, 0.3, names)
+    # x has no name row, so its path goes, as with a join of every node; two rows of c give two.
+    got = sorted((r.path, r.names) for r in out.collect())
+    assert got == [(["a", "b", "c"], ["A", "B", "C1"]), (["a", "b", "c"], ["A", "B", "C2"]),
+                   (["a", "b", "c", "d"], ["A", "B", "C1", None]), (["a", "b", "c", "d"], ["A", "B", "C2", None])]
