@@ -6,6 +6,7 @@ import itertools
 import os
 import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,17 @@ class _Numbers(dict):
         self.new.append((n, piece))
         return n
 
+    def many(self, pieces: np.ndarray) -> np.ndarray:
+        """Numbers of an object array of pieces; all new ones are numbered at once."""
+        numbers = np.fromiter(map(self.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(numbers < 0)
+        new = list(dict.fromkeys(pieces[unknown].tolist()))
+        given = list(itertools.islice(self.counter, len(new)))
+        self.update(zip(new, given))
+        self.new.extend(zip(given, new))
+        numbers[unknown] = given if len(new) == len(unknown) else np.fromiter(map(self.__getitem__, pieces[unknown]), np.int64, len(unknown))
+        return numbers
+
 
 class _Pool:
     """Ids of numbered pieces end to end, gathered for many pieces at once."""
@@ -113,40 +125,52 @@ class Encoder:
             rows = [e.ids for e in self.tok.encode_batch_fast([lead + p for _, p in some], add_special_tokens=False)]
             self.pool.put(numbers, np.array([len(r) for r in rows]), np.array([i for r in rows for i in r], dtype="<u4"))
 
-    def _parts(self, piece: str, numbers: _Numbers) -> list[int] | None:
-        """Numbers of the parts of a piece, or nothing if it has one part only."""
-        ended = _ENDED.fullmatch(piece)
-        if ended:
-            return [numbers[ended[1]], self.first[ended[2]]]
+    def _lines(self, piece: str, numbers: _Numbers) -> list[int] | None:
+        """Numbers of the parts of a piece of several lines, or nothing if it is to go to the library whole."""
         lines = piece.split("\n")
         if len(lines) == 1 or lines != piece.split() or self.marks.search(piece):
             return None
         out = []
         for k, line in enumerate(lines):
-            of = self.first if k else numbers
-            out += [self.first["\n"]] * (k > 0) + (self._parts(line, of) or [of[line]])
+            of, ended = self.first if k else numbers, _ENDED.fullmatch(line)
+            out += [self.first["\n"]] * (k > 0) + ([of[ended[1]], self.first[ended[2]]] if ended else [of[line]])
         return out
 
     def _learn(self) -> None:
         """Ids of all new pieces; the parts of a piece are pieces of one part, and new ones among them come behind."""
-        joined = []
+        joined, parts, counts = [], [np.zeros(0, np.int64)], []
         for numbers, lead in ((self.after, " "), (self.first, "")):
-            whole = []
-            for n, piece in numbers.new:
-                parts = None if not self.parted or piece.isalnum() else self._parts(piece, numbers)
-                if parts:
-                    joined.append((n, parts))
-                else:
-                    whole.append((n, piece))
-            numbers.new.clear()
+            new, numbers.new = numbers.new, []
+            whole = [x for x in new if x[1].isalnum()] if self.parted else new
+            if len(whole) < len(new):
+                rest = [x for x in new if not x[1].isalnum()]
+                ends = [_ENDED.fullmatch(p) for _, p in rest]
+                ended = [m.groups() for m in ends if m]
+                if ended:
+                    stems, tails = (np.array(c, object) for c in zip(*ended))
+                    joined += [n for (n, _), m in zip(rest, ends) if m]
+                    parts.append(np.column_stack([numbers.many(stems), self.first.many(tails)]).ravel())
+                    counts += [2] * len(ended)
+                of_lines = []
+                for x in (x for x, m in zip(rest, ends) if not m):
+                    lines = self._lines(x[1], numbers) if "\n" in x[1] else None
+                    if lines:
+                        joined.append(x[0])
+                        of_lines += lines
+                        counts.append(len(lines))
+                    else:
+                        whole.append(x)
+                parts.append(np.array(of_lines, np.int64))
+                whole += numbers.new
+                numbers.new = []
             plain = [x for x in whole if " " not in x[1]]
             self._from_library(plain, lead)
             if len(plain) < len(whole):
                 self._from_library([x for x in whole if " " in x[1]], lead)
         if joined:
-            ids, lengths = self.pool.get(np.fromiter(itertools.chain.from_iterable(p for _, p in joined), np.int64))
-            ends = np.cumsum(lengths)[np.cumsum([len(p) for _, p in joined]) - 1]
-            self.pool.put(np.array([n for n, _ in joined]), np.diff(ends, prepend=0), ids)
+            ids, lengths = self.pool.get(np.concatenate(parts))
+            ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
+            self.pool.put(np.array(joined), np.diff(ends, prepend=0), ids)
 
     def _cut(self, text: str) -> tuple[np.ndarray, list[int]]:
         """As :meth:`_numbered` for one text in which white space follows a space."""
@@ -157,7 +181,7 @@ class Encoder:
         """(numbers of the pieces of all texts, how many each has); they are told apart before Python sees them."""
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         kinds = lists.flatten().dictionary_encode()
-        numbers = np.fromiter(map(self.after.__getitem__, kinds.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(kinds.dictionary))[np.asarray(kinds.indices)]
+        numbers = self.after.many(kinds.dictionary.to_numpy(zero_copy_only=False))[np.asarray(kinds.indices)]
         counts = np.asarray(lists.value_lengths(), np.int64)
         numbers[np.cumsum(counts) - counts] = [self.first[t.partition(" ")[0]] for t in texts]
         return numbers, counts
@@ -197,3 +221,16 @@ def runs(texts: list[str | None], chars: int = RUN_CHARS):
             begin, held = k + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def text_runs(batches: Iterator[pa.RecordBatch], chars: int = ENCODE_CHARS) -> Iterator[tuple[list, list]]:
+    """(values, texts) of runs of rows with about ``chars`` characters each; Python holds one run, whatever the size of an Arrow batch."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(b.column(1)), 0), np.int64))
+        begin = 0
+        while begin < b.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = min(b.num_rows, int(np.searchsorted(ends, done + chars)) + 1)
+            part = b.slice(begin, end - begin)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            begin = end
