@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import settle
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "documents", "settle", "worker_state"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "documents", "drop_worker_state", "settle", "worker_state"]
 
 #: ASCII white space, U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,8 +30,16 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 
 def worker_state(name: str, make):
-    """A value that lives as long as the Python worker, so that tasks after the first find it filled."""
+    """A value that the Python worker keeps, so that tasks after the first find it filled; it goes when a task needs another one."""
     home = sys.modules.setdefault("_strataline_worker", types.ModuleType("_strataline_worker"))
-    if not hasattr(home, name):
+    if name not in vars(home):
+        drop_worker_state()
         setattr(home, name, make())
     return getattr(home, name)
+
+
+def drop_worker_state() -> None:
+    """Forget what earlier steps left in this Python worker, which the next step would hold beside its own."""
+    home = sys.modules.get("_strataline_worker")
+    for name in [n for n in vars(home) if not n.startswith("__")] if home else []:
+        delattr(home, name)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_worker_state, settle
 from .encode import runs
 
 #: Subwords are byte strings of these lengths inside <word>.
@@ -224,6 +224,7 @@ def _judged(docs: DataFrame, sample: int) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_worker_state()
         judge = Judge(Model(*sent.value))
         for texts in batches:
             texts = [t if isinstance(t, str) else None for t in texts]

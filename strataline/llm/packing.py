@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .encode import ENCODE_CHARS, encoder, runs
+from .encode import encoder, text_runs
 
 #: Windows that a partition keeps open; a piece that would open one more is cut to close one.
 OPEN_WINDOWS = 32
@@ -159,13 +159,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, wit
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, base = encoder(tokenizer), Packer(size), TaskContext.get().partitionId() << 40
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in runs(texts, ENCODE_CHARS):
-                for doc, got in zip(ids[i:j], enc.encode(texts[i:j])):
-                    packer.add(doc, got + end)
-                if packer.out:
-                    yield batch(packer.take(), base)
+        for ids, texts in text_runs(batches):
+            for doc, got in zip(ids, enc.encode(texts)):
+                packer.add(doc, got + end)
+            if packer.out:
+                yield batch(packer.take(), base)
         packer.finish()
         if packer.out:
             yield batch(packer.take(), base)

@@ -1,10 +1,10 @@
-"""What Python workers hold: runs of texts, pieces numbered together."""
+"""What Python workers hold: runs of texts, pieces numbered together, the state of one step."""
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from strataline.llm import encode
+from strataline.llm import common, encode
 
 
 def test_text_runs_hold_one_run_of_a_batch():
@@ -32,3 +32,14 @@ def test_parted_pieces_have_the_ids_of_the_library():
     for _ in range(2):  # the second time every piece is known
         got = [np.frombuffer(raw, "<u4").tolist() for raw in e.encode(texts)]
         assert got == [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_a_worker_keeps_the_state_of_one_step():
+    made = []
+    first = common.worker_state("test-first", lambda: made.append(1) or [1])
+    assert common.worker_state("test-first", lambda: made.append(2) or [2]) is first and made == [1]
+    second = common.worker_state("test-second", lambda: [3])
+    assert common.worker_state("test-first", lambda: [4]) == [4] and second == [3]
+    common.drop_worker_state()
+    assert common.worker_state("test-first", lambda: [5]) == [5]
+    common.drop_worker_state()
