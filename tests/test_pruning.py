@@ -190,6 +190,46 @@ def test_revealed_connections_count_the_pairs(spark):
     assert len(set(pairs)) == len(pairs) > 10 and got == {k: (len(v), min(v)) for k, v in other.items()}
 
 
+NODES = "id string, type string, name string, first_appearance int"
+
+
+def brute_hidden(chars, pairs):
+    """Pairs of characters that no edge joins and a walk of two or three edges from the lesser one does."""
+    after = defaultdict(set)
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            after[a].add(b)
+    on = lambda found: {y for x in found for y in after[x]}
+    return {(a, b) for a in chars for b in on(after[a]) | on(on(after[a])) if a < b and b in chars and b not in after[a] and a not in after[b]}
+
+
+@pytest.mark.parametrize("rows", [2, 100_000])
+def test_hidden_links_with_hubs(spark, monkeypatch, rows):
+    """Hubs on either side of a join, parallel edges, loops, null ends and repeated nodes."""
+    monkeypatch.setattr(graph, "HUB_ROWS", rows)
+    rnd = random.Random(31)
+    names = [f"v{i:02}" for i in range(40)]
+    pairs = [tuple(rnd.choice(names) for _ in range(2)) for _ in range(45)] + [("v03", x) for x in names[20:36]] + [(x, "v03") for x in names[4:16]]
+    pairs += pairs[:9] + [(None, "v01"), ("v01", None), ("zz", "v02")]
+    chars = {n for i, n in enumerate(names) if i % 4}
+    nodes = [(n, "CHARACTER" if n in chars else "EVENT", n, 1) for n in names + names[:6]] + [(None, "CHARACTER", None, 1)]
+    got = [(r.a, r.b) for r in graph.hidden_links(spark.createDataFrame(nodes, NODES), spark.createDataFrame([(str(i), a, b, "R", 0.5, 1) for i, (a, b) in enumerate(pairs)], EDGES)).collect()]
+    assert len(got) == len(set(got)) > 50 and set(got) == brute_hidden(chars, pairs)
+
+
+def test_revealed_connections_write_only_edges_between_characters(spark, monkeypatch):
+    """Edges to events from which no character is reached are neither written nor shuffled."""
+    written, real = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, *a: written.append(real(df, *a)) or written[-1])
+    chars = [f"c{i}" for i in range(5)]
+    pairs = [*zip(chars, chars[1:])] + [(chars[i % 5], f"o{i}") for i in range(3000)] + [(f"o{i}", f"o{i + 1}") for i in range(2999)]
+    nodes = spark.createDataFrame([(n, "CHARACTER", n, 1) for n in chars] + [(f"o{i}", "EVENT", "", 1) for i in range(3000)], NODES)
+    edges = spark.createDataFrame([(str(i), a, b, "R", 0.5, 1) for i, (a, b) in enumerate(pairs)], EDGES)
+    got = {r.id: (r.n_links, r.least) for r in graph.revealed_connections(nodes, edges).collect()}
+    assert got == {"c0": (2, "c2"), "c1": (2, "c3"), "c2": (2, "c0"), "c3": (2, "c0"), "c4": (2, "c1")}
+    assert max(df.count() for df in written) < 100
+
+
 def test_small_groups_stay_whole(spark, monkeypatch):
     """Many small groups need no pivots and no parts: a block per group, each ball met once."""
     from strataline.operators import vectors
