@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -230,6 +231,16 @@ def test_revealed_connections_write_only_edges_between_characters(spark, monkeyp
     assert max(df.count() for df in written) < 100
 
 
+def test_plot_complications_shuffle_a_node_once(spark):
+    """Of an event's many edges one row is shuffled to tell that it has a consequence; events without one are all found."""
+    nodes = spark.createDataFrame([(f"o{i}", "EVENT", "", 1) for i in range(30)] + [("o3", "EVENT", "", 1), ("c1", "CHARACTER", "", 1)], NODES)
+    edges = spark.createDataFrame([(f"{i}", f"o{i % 20}", f"x{i}", "R", 0.5, 1) for i in range(4000)] + [("a", "o25", "o25", "R", 0.5, 1), ("b", None, "o26", "R", 0.5, 1), ("c", "o27", None, "R", 0.5, 1)], EDGES).coalesce(2)
+    out = graph.plot_complications(nodes, edges).filter("kind = 'unresolved_event'")
+    assert sorted(r.first for r in out.collect()) == [f"o{i}" for i in range(20, 30)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftAnti(.|\n)*Aggregate \[\w+#", plan)
+
+
 def test_small_groups_stay_whole(spark, monkeypatch):
     """Many small groups need no pivots and no parts: a block per group, each ball met once."""
     from strataline.operators import vectors
