@@ -177,6 +177,35 @@ def test_paths_with_any_strengths(spark, top):
     assert {k: n for k, (n, _) in table.items()} == count and {k: w for k, (_, w) in table.items()} == pytest.approx(best)
 
 
+@pytest.mark.parametrize("rows", [2, 100_000])
+def test_path_table_with_hubs(spark, monkeypatch, rows):
+    """Hubs on either side of a join, parallel edges, loops, missing strengths and null ends, by weak and strong paths."""
+    monkeypatch.setattr(graph, "HUB_ROWS", rows)
+    rnd = random.Random(17)
+    names = [f"v{i:02}" for i in range(24)]
+    pairs = [tuple(rnd.choice(names) for _ in range(2)) for _ in range(30)] + [("v03", x) for x in names[12:22]] + [(x, "v03") for x in names[4:12]]
+    edges = [(f"{i:03}", a, b, rnd.choice("RS"), rnd.choice([None, 0.6, 0.75, 0.9, 1.0]), 1) for i, (a, b) in enumerate(pairs + pairs[::4])]
+    e = spark.createDataFrame([*edges, ("x", None, "v01", "R", 0.9, 1), ("y", "v01", None, "R", 0.9, 1)], EDGES)
+    want = brute_paths([(*x[:4], 0.5 if x[4] is None else x[4], 1) for x in edges], names[:15], 4, 0.3)
+    got = graph.path_table(spark.createDataFrame([(n,) for n in names[:15]], "id string"), e, 4, 0.3).collect()
+    key = lambda p: (p[0], p[-1], len(p) - 1, p[-2])
+    count, best = Counter(key(p) for p, _ in want), {}
+    for p, w in want:
+        best[key(p)] = max(best.get(key(p), 0), w)
+    assert len(got) == len(count) > 100 and max(count.values()) > 1
+    assert {(r.source, r.target, r.hops, r.pred): r.n_paths for r in got} == count and {(r.source, r.target, r.hops, r.pred): r.best for r in got} == pytest.approx(best)
+
+
+def test_path_table_writes_no_paths(spark, monkeypatch):
+    """Sixty nodes by way of one to sixty others: 3,600 paths from 120 edges, none of them written on the way or shuffled to be counted."""
+    written, real = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, *a: written.append(real(df, *a)) or written[-1])
+    edges = spark.createDataFrame([(f"i{i}", f"a{i}", "m", "R", 0.9, 1) for i in range(60)] + [(f"o{i}", "m", f"b{i}", "R", 0.9, 1) for i in range(60)] + [("z", "b0", "c", "R", 0.9, 1)], EDGES)
+    out = graph.path_table(spark.createDataFrame([(f"a{i}",) for i in range(60)], "id string"), edges)
+    assert Counter((r.hops, r.n_paths) for r in out.collect()) == {(2, 1): 3600, (3, 1): 60}
+    assert sum(df.count() for df in written) < 1000 and "hashpartitioning(source" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_revealed_connections_count_the_pairs(spark):
     rnd = random.Random(9)
     names = [f"v{i:02}" for i in range(25)]
